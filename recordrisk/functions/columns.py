@@ -106,6 +106,11 @@ def _nan_to_null(c) -> Column:
     return F.nullif(c, F.lit(float("nan")))
 
 
+def zero_filled(c) -> Column:
+    """A model input as double, missing and NaN as zero."""
+    return F.coalesce(_nan_to_null(as_col(c).cast("double")), F.lit(0.0))
+
+
 def stringify(c, null_label="nan") -> Column:
     """Text of a category, with a label of its own for missing."""
     return F.coalesce(as_col(c).cast("string"), F.lit(null_label))

@@ -45,8 +45,9 @@ def _value_at_rank(values: DataFrame, rank, size):
 def quantile_value(df: DataFrame, col, q, method="exact"):
     """Linearly interpolated quantile as a number, missing values skipped.
 
-    ``"exact"`` needs a few aggregates over the column and never holds its values in one
-    task, as the built-in exact percentile does; ``"approx"`` is a single sketch pass.
+    ``"exact"`` takes the built-in percentile for a column of known small size. Beyond it,
+    where that function would hold all values in one task, a few aggregates find the two
+    ranks. ``"approx"`` is a single sketch pass.
     """
     values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     if method == "approx":
@@ -54,6 +55,8 @@ def quantile_value(df: DataFrame, col, q, method="exact"):
     n = values.count()
     if n == 0:
         return None
+    if n <= RANKED_ROWS:
+        return values.agg(F.percentile("v", q)).first()[0]
     position = q * (n - 1)
     first, last = math.floor(position), math.ceil(position)
     low = _value_at_rank(values, first, n)
@@ -161,8 +164,7 @@ def fit_encodings_basic(df: DataFrame, null_label="Unknown") -> DataFrame:
 
 def assemble(df: DataFrame, features=FEATURES, out="features") -> DataFrame:
     """Feature columns as one vector, missing values as zero."""
-    filled = df.select("*", *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_f_{c}")
-                              for c in features])
+    filled = df.withColumns({f"_f_{c}": C.zero_filled(c) for c in features})
     vector = VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol=out)
     return vector.transform(filled).drop(*[f"_f_{c}" for c in features])
 

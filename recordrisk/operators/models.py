@@ -26,9 +26,7 @@ def _fit(df, stage, features, label, weight):
 
 
 def with_filled(df: DataFrame, features) -> DataFrame:
-    zero = F.lit(0.0)
-    return df.withColumns({
-        f"{c}_filled": F.coalesce(F.nanvl(F.col(c).cast("double"), zero), zero) for c in features})
+    return df.withColumns({f"{c}_filled": C.zero_filled(c) for c in features})
 
 
 def train_random_forest(df: DataFrame, features=FEATURES, label=TARGET, trees=200, depth=12, min_leaf=2,

@@ -60,7 +60,13 @@ def correlation_with_target(df: DataFrame, features, target) -> DataFrame:
     A constant feature has no correlation (NULL) and comes last.
     """
     t = F.col(target).cast("double")
-    row = df.agg(*[F.nullif(F.corr(F.col(c).cast("double"), t), F.lit(float("nan"))).alias(c) for c in features])
+
+    def correlation(c):
+        x = F.col(c).cast("double")
+        spread = F.stddev_pop(F.when(t.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), t))
+        return F.try_divide(F.covar_pop(x, t), spread)
+
+    row = df.agg(*[correlation(c).alias(c) for c in features])
     return row.unpivot([], list(features), "feature", "correlation").orderBy(F.asc_nulls_last("correlation"), "feature")
 
 

@@ -2,10 +2,10 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from recordrisk.functions.columns import HASH_BITS, hash60
+from recordrisk.functions.columns import HASH_BITS, hash60, zero_filled
 from recordrisk.operators.neighbours import nearest_in_class
 from recordrisk.operators.ordering import BUCKET_BITS, class_index, counter_rows
-from recordrisk.workspace import lookup
+from recordrisk.workspace import durable, lookup
 
 SEED = 42
 
@@ -112,11 +112,12 @@ def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(),
     A draw picks a row of the class, one of its ``k`` nearest rows of the same class, and a
     point on the line between them. Only rows that are drawn are searched for neighbours.
     Features are compared as they are unless ``scale`` is set; ``integer_cols`` are cut to
-    whole numbers. Returns key (NULL for synthetic rows), label, features and ``draw``.
+    whole numbers and missing values count as zero. Returns key (NULL for synthetic rows), label, features and ``draw``.
     A class needs at least two rows; with ``k`` rows or fewer all others are neighbours.
     """
     features = list(features)
-    rows = df.where(F.col(label).isNotNull()).select(key, label, *[F.col(c).cast("double").alias(c) for c in features])
+    rows = df.where(F.col(label).isNotNull()).select(key, label, *[zero_filled(c).alias(c) for c in features])
+    rows = durable(rows)
     synthetic = smote_rows(rows, key, label, features, k, seed, integer_cols, scale)
     original = rows.withColumn("draw", F.lit(None).cast("long"))
     return original.unionByName(synthetic.withColumn(key, F.lit(None).cast(rows.schema[key].dataType)).select(
@@ -141,14 +142,13 @@ def smote_draws(rows: DataFrame, key, label, k=5, seed=SEED) -> DataFrame:
 
 def smote_rows(rows: DataFrame, key, label, features, k, seed, integer_cols=(), scale=False) -> DataFrame:
     """The synthetic rows alone, with the keys of both parents."""
-    draws = smote_draws(rows, key, label, k, seed)
+    draws = durable(smote_draws(rows, key, label, k, seed))
     pairs = nearest_in_class(rows, draws.select(label, key).distinct(), key, label, features, k, scale)
-    base = rows.select(label, key, *[F.col(c).alias(f"_a_{c}") for c in features])
-    parents = draws.join(pairs, [label, key, "rank"]).join(base, [label, key])
+    parents = draws.join(pairs, [label, key, "rank"])
     position = {c: i for i, c in enumerate(features)}
 
     def between(c):
-        start, end = F.col(f"_a_{c}"), F.col("neighbour_features")[position[c]]
+        start, end = F.col("features")[position[c]], F.col("neighbour_features")[position[c]]
         value = start + F.col("u") * (end - start)
         whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")
         return whole if c in integer_cols else value

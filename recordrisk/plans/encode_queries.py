@@ -118,7 +118,7 @@ def c8_decode_labels(spark, sf_dir):
   ELSE (SELECT quantile_cont(c_acctbal, 0.05) FROM customer) END, 6) AS value
 FROM (SELECT CAST(unnest([0.05, 0.5, 0.99]) AS DOUBLE) AS q)""")
 def d1_quantile(spark, sf_dir):
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     parts = [D.quantile(V.table(spark, sf_dir, "customer"), "c_acctbal", 0.05),
              D.quantile(master, "TotalFunding", 0.5), D.quantile(master, "TotalFunding", 0.99)]
     return parts[0].union(parts[1]).union(parts[2]).select("q", F.round("value", 6).alias("value"))
@@ -127,7 +127,7 @@ def d1_quantile(spark, sf_dir):
 @query("d2_winsorize_upper", f"""WITH {MASTER}, cap AS (SELECT quantile_cont(TotalFunding, 0.99) AS c FROM master)
 SELECT id, round(CASE WHEN TotalFunding > c THEN c ELSE TotalFunding END, 4) AS TotalFunding FROM master, cap""")
 def d2_winsorize_upper(spark, sf_dir):
-    df = D.winsorize_upper(V.master_records(spark, sf_dir), "TotalFunding")
+    df = D.winsorize_upper(V.saved_master(spark, sf_dir), "TotalFunding")
     return df.select("id", F.round("TotalFunding", 4).alias("TotalFunding"))
 
 
@@ -136,12 +136,12 @@ def d3_floor_fill(spark, sf_dir):
     return V.raw_records(spark, sf_dir).select("id", C.floor_fill("FundingRounds").alias("FundingRounds"))
 
 
-@query("d4_safe_ratio", """SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS price,
-  round(l_extendedprice / nullif(l_discount, 0), 6) AS per_discount FROM lineitem""")
+@query("d4_safe_ratio", """SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 8) AS price,
+  round(l_extendedprice / nullif(l_discount, 0), 8) AS per_discount FROM lineitem""")
 def d4_safe_ratio(spark, sf_dir):
     return V.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(C.safe_ratio("l_extendedprice", "l_quantity"), 6).alias("price"),
-        F.round(C.safe_ratio("l_extendedprice", "l_discount"), 6).alias("per_discount"))
+        "l_orderkey", "l_linenumber", F.round(C.safe_ratio("l_extendedprice", "l_quantity"), 8).alias("price"),
+        F.round(C.safe_ratio("l_extendedprice", "l_discount"), 8).alias("per_discount"))
 
 
 @query("d5_log1p", """SELECT c_custkey, round(CASE WHEN c_acctbal > -1 THEN ln(1 + c_acctbal) END, 6) AS log_balance
@@ -152,18 +152,18 @@ def d5_log1p(spark, sf_dir):
 
 def rounded(df, keep=("id",)):
     """Feature columns at the precision the SQL counterparts use."""
-    digits = {"TotalFunding": 4, "FundingPerRound": 4, "LogFunding": 6, "LogFundingPerRound": 6}
+    digits = {"TotalFunding": 4, "FundingPerRound": 7, "LogFunding": 6, "LogFundingPerRound": 6}
     return df.select(*keep, *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in FEATURE_LIST])
 
 
 @query("d6_build_features", f"WITH {FEATURES} SELECT {ROUNDED_FEATURES} FROM features")
 def d6_build_features(spark, sf_dir):
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     return rounded(D.fit_features(master).transform(master, ["id"]))
 
 
 @query("d6_request_features", f"""WITH {HISTORY} SELECT pred_id AS id, CAST(Funding AS DOUBLE) AS TotalFunding,
-  CAST(greatest(Rounds, 1) AS DOUBLE) AS FundingRounds, round(CAST(Funding AS DOUBLE) / greatest(Rounds, 1), 4) AS FundingPerRound,
+  CAST(greatest(Rounds, 1) AS DOUBLE) AS FundingRounds, round(CAST(Funding AS DOUBLE) / greatest(Rounds, 1), 7) AS FundingPerRound,
   round(ln(1 + CAST(Funding AS DOUBLE)), 6) AS LogFunding,
   round(ln(1 + CAST(Funding AS DOUBLE) / greatest(Rounds, 1)), 6) AS LogFundingPerRound,
   {stage_case(rules='serve')} AS StageEncoded,
@@ -197,7 +197,7 @@ def d7_features_basic(spark, sf_dir):
   round(coalesce(LogFunding, 0), 6) AS f3, CAST(FundingBand AS DOUBLE) AS f10, 11 AS size FROM features""")
 def d8_assemble(spark, sf_dir):
     """Positions of the assembled vector, missing values as zero."""
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     v = vector_to_array("features")
     return D.assemble(D.fit_features(master).transform(master, ["id"])).select(
         "id", F.round(v[0], 4).alias("f0"), F.round(v[3], 6).alias("f3"), v[10].alias("f10"), F.size(v).alias("size"))

@@ -15,7 +15,7 @@ from recordrisk.sources import views as V
 SELECT IndustryClean, round(rate, 6) AS rate, n,
   CASE WHEN rate > 0.7 THEN 'high' WHEN rate > 0.5 THEN 'middle' ELSE 'low' END AS tier FROM r""")
 def survival_by_industry(spark, sf_dir):
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     table = fit_features(master).transform(master, [TARGET, "IndustryClean"])
     rates = rate_tier(rate_by(table, "IndustryClean", TARGET), "rate", 0.7, 0.5)
     return rates.select("IndustryClean", F.round("rate", 6).alias("rate"), "n", "tier")

@@ -10,7 +10,7 @@ from recordrisk.workspace import durable
 
 def model_table(spark, sf_dir):
     """The eleven features of every record with the label, written once."""
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     return durable(fit_features(master).transform(master, ["id", TARGET]))
 
 

@@ -11,7 +11,7 @@ from recordrisk.sources import views as V
 
 
 def features(spark, sf_dir, keep):
-    master = V.master_records(spark, sf_dir)
+    master = V.saved_master(spark, sf_dir)
     return D.fit_features(master).transform(master, keep)
 
 

@@ -58,7 +58,7 @@ def _scored_sql(style):
 
 @query("i1_score_batch", f"""WITH {_scored_sql('service')} SELECT pred_id AS request_id, Prediction AS prediction,
   CAST(0.72 AS DOUBLE) AS confidence, '72.0%' AS confidence_pct, {reason_sql('service')} AS reason,
-  {advice_sql('service')} AS advice, printf('%.1f', 0.8685 * 100) || '%' AS model_accuracy, City AS city,
+  {advice_sql('service')} AS advice, printf('%.1f', CAST(0.8685 AS DOUBLE) * 100) || '%' AS model_accuracy, City AS city,
   Industry AS industry, Stage AS stage FROM ruled""")
 def i1_score_batch(spark, sf_dir):
     """Responses of the service with the funding rule as its model."""

@@ -120,7 +120,7 @@ scores AS (
   FROM orders)"""
 
 ROUNDED_FEATURES = """
-  id, round(TotalFunding, 4) AS TotalFunding, FundingRounds, round(FundingPerRound, 4) AS FundingPerRound,
+  id, round(TotalFunding, 4) AS TotalFunding, FundingRounds, round(FundingPerRound, 7) AS FundingPerRound,
   round(LogFunding, 6) AS LogFunding, round(LogFundingPerRound, 6) AS LogFundingPerRound, StageEncoded,
   CityEncoded, IndustryEncoded, IsMajorCity, IsTechIndustry, FundingBand"""
 

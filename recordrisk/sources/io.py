@@ -10,6 +10,8 @@ from recordrisk.schemas import ENCODING, METRIC, PREDICTION_LOG
 from recordrisk.workspace import lookup, small_or_none
 
 CORRUPT = "_corrupt_record"
+# Quotes are doubled, and white space around a value is part of it.
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_records(spark: SparkSession, path: str, schema, format="csv", mode="PERMISSIVE") -> DataFrame:
@@ -17,7 +19,7 @@ def read_records(spark: SparkSession, path: str, schema, format="csv", mode="PER
     reader = spark.read.schema(schema)
     if format == "csv":
         reader = reader.option("header", True).option("mode", mode).option("multiLine", False)
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).options(**CSV)
     df = reader.format(format).load(path)
     doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
     nan = F.lit(float("nan"))
@@ -28,7 +30,7 @@ def write_records(df: DataFrame, path: str, format="parquet", mode="overwrite")
     """One file per task; the output is never gathered into a single file."""
     writer = df.write.mode(mode)
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("header", True).options(**CSV)
     writer.format(format).save(path)
 
 
@@ -98,7 +100,7 @@ def combine_logs(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def export_log(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    write_records(df, path, "csv")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

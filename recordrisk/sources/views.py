@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordrisk.functions import columns as C, tables as R
 from recordrisk.schemas import TARGET
+from recordrisk.workspace import durable
 
 # --- fixed values of the stand-in views --------------------------------------------------
 CITIES = (
@@ -89,6 +90,11 @@ def master_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def saved_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned records written out once, for work that passes over them several times."""
+    return durable(master_records(spark, sf_dir))
+
+
 def prediction_log(events: DataFrame) -> DataFrame:
     """Prediction log derived from the event table; works on a stream as well."""
     funding = F.floor(F.col("value") * 10000).cast("long")
