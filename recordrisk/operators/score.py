@@ -59,7 +59,8 @@ def score_batch(requests: DataFrame, model=None, encodings: DataFrame = None, st
         safe = F.when(F.col("total_funding") > R.RULE_THRESHOLD, 1).otherwise(0)
         scored = asked.select(key, *inputs, safe.alias("prediction"), F.lit(R.RULE_CONFIDENCE).alias("confidence"))
     else:
-        features = request_features(asked, encodings, style, [key, *[F.col(c).alias(f"in_{c}") for c in inputs]])
+        asked = asked.withColumns({f"in_{c}": F.col(c) for c in inputs})
+        features = request_features(asked, encodings, style, [key, *[f"in_{c}" for c in inputs]])
         scored = predict(model, features, [key, *[F.col(f"in_{c}").alias(c) for c in inputs]])
     shown = C.industry_class("industry", "serve") if style == "service" else F.col("industry")
     scored = scored.withColumn("industry", shown).withColumn("prediction", C.outcome_label("prediction"))

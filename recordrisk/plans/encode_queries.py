@@ -177,7 +177,7 @@ def d6_request_features(spark, sf_dir):
     from recordrisk.operators.score import request_features
 
     requests = V.requests_from(V.history(spark, sf_dir))
-    return rounded(request_features(requests, keep=[F.col("request_id").alias("id")]))
+    return rounded(request_features(requests, keep=["request_id"]).withColumnRenamed("request_id", "id"))
 
 
 @query("d7_features_basic", f"""WITH {RECORDS},
