@@ -6,6 +6,10 @@ from recordrisk.functions import columns as C
 from recordrisk.operators.ordering import running_totals
 from recordrisk.workspace import SMALL_ROWS, lookup, small_or_none
 
+OTHER = "Other"
+# Up to this many values a lookup is a CASE expression and needs no join.
+CASE_VALUES = 64
+
 
 def encode_stage(df: DataFrame, col="Stage", rules="train", out="StageEncoded") -> DataFrame:
     return df.withColumn(out, C.stage_code(col, rules))
@@ -15,16 +19,17 @@ def classify_industry(df: DataFrame, col="Industry", rules="train", out="Industr
     return df.withColumn(out, C.industry_class(col, rules))
 
 
-def frequent_values(df: DataFrame, col, n=15) -> DataFrame:
+def frequent_values(df: DataFrame, col, n=15, counts=False) -> DataFrame:
     """The ``n`` most frequent values, ties in value order."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.orderBy(F.desc("_n"), col).limit(n).select(col)
+    found = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    top = found.orderBy(F.desc("n"), col).limit(n)
+    return top if counts else top.select(col)
 
 
-def fold_rare(df: DataFrame, col, n=15, other="Other", frequent: DataFrame = None) -> DataFrame:
+def fold_rare(df: DataFrame, col, n=15, other=OTHER, frequent: DataFrame = None) -> DataFrame:
     """Keep the most frequent values; the rest and missing become ``other``.
 
-    At most ``n`` values are broadcast. Pass ``frequent`` to reuse the values of a fit.
+    Pass ``frequent`` to reuse the values of an earlier fit.
     """
     if frequent is None:
         frequent = frequent_values(df, col, n)
@@ -33,6 +38,11 @@ def fold_rare(df: DataFrame, col, n=15, other="Other", frequent: DataFrame = Non
     return joined.withColumn(col, F.when(F.col("_kept"), F.col(col)).otherwise(other)).select(*df.columns)
 
 
+def ordinal_codes(values) -> dict:
+    """Codes 0..k-1 of a few values in sorted order."""
+    return {value: code for code, value in enumerate(sorted(values))}
+
+
 def fit_ordinal(df: DataFrame, col, feature=None, null_label=None) -> DataFrame:
     """Sorted distinct values to 0..k-1, as rows of an encoding table.
 
@@ -52,16 +62,29 @@ def fit_ordinal(df: DataFrame, col, feature=None, null_label=None) -> DataFrame:
     return numbered.select(F.lit(feature or col).alias("feature"), "value", F.col("code").cast("int").alias("code"))
 
 
-def apply_encoding(df: DataFrame, col, encoding: DataFrame, default=None, out=None, feature=None,
+def apply_encoding(df: DataFrame, col, encoding, default=None, out=None, feature=None,
                    null_label=None) -> DataFrame:
-    """Code of each value from an encoding table; values it does not have get ``default``."""
-    out = out or f"{col}Encoded"
-    codes = encoding.where(F.col("feature") == (feature or col)).select(
-        F.col("value").alias("_value"), F.col("code").alias("_code"))
-    keyed = df.withColumn("_value", C.stringify(col, null_label) if null_label else F.col(col).cast("string"))
+    """Code of each value; values the encoding does not have get ``default``.
+
+    ``encoding`` is an encoding table or ``{feature: {value: code}}``. A few values become
+    one expression, more are broadcast, and a table beyond ``SMALL_ROWS`` is joined.
+    """
+    out, feature = out or f"{col}Encoded", feature or col
+    key = C.stringify(col, null_label) if null_label else F.col(col).cast("string")
+    if isinstance(encoding, dict):
+        rows, codes = list(encoding[feature].items()), None
+    else:
+        codes = encoding.where(F.col("feature") == feature).select(
+            F.col("value").alias("_value"), F.col("code").alias("_code"))
+        rows = small_or_none(codes, SMALL_ROWS)
+    if rows is not None and len(rows) <= CASE_VALUES:
+        code = C.map_literal(key, dict(map(tuple, rows)))
+        return df.withColumn(out, (code if default is None else F.coalesce(code, F.lit(default))).cast("int"))
+    if rows is not None:
+        codes = F.broadcast(df.sparkSession.createDataFrame(rows, "_value string, _code int"))
     code = F.col("_code") if default is None else F.coalesce("_code", F.lit(default))
     kept = [c for c in df.columns if c != out]
-    return lookup(keyed, codes, "_value", max_rows=SMALL_ROWS).select(*kept, code.cast("int").alias(out))
+    return df.withColumn("_value", key).join(codes, "_value", "left").select(*kept, code.cast("int").alias(out))
 
 
 def apply_ordinal(df: DataFrame, col, encoding: DataFrame, out=None, null_label=None) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from recordrisk.functions import columns as C, tables as R
-from recordrisk.operators.encode import apply_encoding, fit_ordinal, fold_rare, frequent_values
+from recordrisk.operators.encode import OTHER, apply_encoding, fit_ordinal, frequent_values, ordinal_codes
 from recordrisk.schemas import FEATURES, FEATURES_BASIC
+from recordrisk.sources.io import encoding_table
 
 # A bracket of at most this many rows is ranked in one task.
 RANKED_ROWS = 1_000_000
@@ -92,58 +93,55 @@ def numeric_features(df: DataFrame) -> DataFrame:
 class FeatureFit:
     """What the feature builder learned from the training records.
 
-    Holds the cap, the kept cities (at most ``top_cities``) and the encoding table, and
+    Holds the cap, the kept cities (at most ``top_cities``) and the codes per feature, and
     applies them to any records: one code path for training and scoring.
     """
 
-    def __init__(self, cap, cities, encodings, rules):
-        self.cap, self.cities, self.encodings, self.rules = cap, cities, encodings, rules
+    def __init__(self, cap, cities, codes, rules):
+        self.cap, self.cities, self.codes, self.rules = cap, cities, codes, rules
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
-        clean = df.replace(R.CITY_FIXES, subset=["City"])
-        if self.cities is not None:
-            clean = fold_rare(clean, "City", frequent=self.cities)
-        return _feature_columns(clean, self.encodings, self.rules, self.cap, None, None, keep)
+        city = F.when(F.col("City").isin(self.cities), F.col("City")).otherwise(OTHER)
+        clean = df.replace(R.CITY_FIXES, subset=["City"]).withColumn("City", city)
+        return build_features(clean, self.codes, self.rules, self.cap, keep=keep)
+
+    def encodings(self, spark) -> DataFrame:
+        return encoding_table(spark, self.codes)
 
 
 def fit_features(df: DataFrame, rules="train", q=0.99, top_cities=15, method="exact") -> FeatureFit:
-    """Learn cap, kept cities and codes. Each is a small result of its own aggregate."""
+    """Learn cap, kept cities and codes; each is a small result of its own aggregate."""
     cap = quantile_value(df, "TotalFunding", q, method)
-    clean = df.replace(R.CITY_FIXES, subset=["City"])
-    spark = df.sparkSession
-    frequent = frequent_values(clean, "City", top_cities)
-    cities = spark.createDataFrame(frequent.collect(), frequent.schema)
-    folded = fold_rare(clean.select("City"), "City", frequent=cities)
-    classes = df.select(C.industry_class("Industry", rules).alias("IndustryClean"))
-    city_codes = fit_ordinal(folded, "City").collect()
-    industry_codes = fit_ordinal(classes, "IndustryClean", feature="Industry").collect()
-    encodings = spark.createDataFrame(
-        city_codes + industry_codes, "feature string, value string, code int")
-    return FeatureFit(cap, cities, encodings, rules)
-
-
-def build_features(df: DataFrame, encodings: DataFrame, rules="train", cap=None, city_default=None,
+    rows = df.count()
+    clean = df.select("City").replace(R.CITY_FIXES, subset=["City"])
+    top = frequent_values(clean, "City", top_cities, counts=True).collect()
+    cities = [r["City"] for r in top]
+    folded = {OTHER} if sum(r["n"] for r in top) < rows else set()
+    classes = df.select(C.industry_class("Industry", rules).alias("c")).distinct().collect()
+    return FeatureFit(cap, cities, {
+        "City": ordinal_codes(folded.union(cities)), "Industry": ordinal_codes(r["c"] for r in classes)}, rules)
+
+
+def build_features(df: DataFrame, encodings, rules="train", cap=None, city_default=None,
                    industry_default=None, keep=()) -> DataFrame:
     """The eleven features from cleaned records and given codes, in their fixed order.
 
-    ``keep`` names further columns to carry along (a key, the label, ``IndustryClean``).
+    ``encodings`` is an encoding table or ``{feature: {value: code}}``. ``keep`` names
+    further columns to carry along (a key, the label, ``IndustryClean``).
     """
-    return _feature_columns(df, encodings, rules, cap, city_default, industry_default, keep)
-
-
-def _feature_columns(df, encodings, rules, cap, city_default, industry_default, keep):
-    out = df.withColumn("IndustryClean", C.industry_class("Industry", rules))
-    out = out.withColumn("StageEncoded", C.stage_code("Stage", rules))
-    out = out.withColumn("TotalFunding", F.col("TotalFunding").cast("double"))
+    out = df.withColumns({
+        "IndustryClean": C.industry_class("Industry", rules), "StageEncoded": C.stage_code("Stage", rules),
+        "TotalFunding": F.col("TotalFunding").cast("double")})
     if cap is not None:
         out = out.withColumn("TotalFunding", C.cap_at("TotalFunding", F.lit(cap)))
     out = numeric_features(out)
     out = apply_encoding(out, "City", encodings, city_default)
     out = apply_encoding(out, "IndustryClean", encodings, industry_default, out="IndustryEncoded",
                          feature="Industry")
-    out = out.withColumn("IsMajorCity", C.membership_flag("City", R.MAJOR_CITIES))
-    out = out.withColumn("IsTechIndustry", C.membership_flag("IndustryClean", R.TECH_INDUSTRIES))
-    out = out.withColumn("FundingBand", C.band("TotalFunding"))
+    out = out.withColumns({
+        "IsMajorCity": C.membership_flag("City", R.MAJOR_CITIES),
+        "IsTechIndustry": C.membership_flag("IndustryClean", R.TECH_INDUSTRIES),
+        "FundingBand": C.band("TotalFunding")})
     return out.select(*keep, *FEATURES)
 
 

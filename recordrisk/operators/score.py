@@ -8,27 +8,26 @@ from recordrisk.operators.features import build_features
 from recordrisk.operators.encode import apply_encoding
 from recordrisk.operators.models import predict
 from recordrisk.schemas import FEATURES
-from recordrisk.sources.io import dashboard_encodings, service_encodings
+from recordrisk.sources.io import DASHBOARD_CODES, SERVICE_CODES
 
 RESPONSE = ["prediction", "confidence", "confidence_pct", "reason", "advice", "model_accuracy", "city",
             "industry", "stage"]
 
 
-def request_features(requests: DataFrame, encodings: DataFrame = None, style="service", keep=()) -> DataFrame:
+def request_features(requests: DataFrame, encodings=None, style="service", keep=()) -> DataFrame:
     """The eleven features of score requests.
 
     The service classifies free industry and stage texts and gives unknown names code 0;
     the dashboard offers fixed names and looks them up, with its own defaults. Rounds are
     floored at one in both.
     """
-    spark = requests.sparkSession
     records = requests.withColumns({
         "TotalFunding": F.col("total_funding"), "FundingRounds": F.col("funding_rounds"),
         "City": F.col("city"), "Industry": F.col("industry"), "Stage": F.coalesce("stage", F.lit("Seed"))})
     if style == "service":
-        codes = encodings if encodings is not None else service_encodings(spark)
+        codes = encodings if encodings is not None else SERVICE_CODES
         return build_features(records, codes, "serve", None, 0, 0, keep)
-    codes = encodings if encodings is not None else dashboard_encodings(spark)
+    codes = encodings if encodings is not None else DASHBOARD_CODES
     exact = records.withColumn("_industry", F.col("Industry")).withColumn("_stage", F.col("Stage"))
     out = build_features(exact, codes, "serve", None, 0, 1, [*keep, "_industry", "_stage"])
     out = apply_encoding(out, "_industry", codes, 1, "IndustryEncoded", "Industry")
@@ -46,7 +45,7 @@ def confidence(df: DataFrame, col="confidence") -> DataFrame:
     return df.withColumn("confidence_pct", C.percent_text(col)).withColumn(col, F.bround(col, 4))
 
 
-def score_batch(requests: DataFrame, model=None, encodings: DataFrame = None, style="service",
+def score_batch(requests: DataFrame, model=None, encodings=None, style="service",
                 accuracy=None, symbol="$", key="request_id") -> DataFrame:
     """One response per request; stateless, so the same call scores a stream.
 

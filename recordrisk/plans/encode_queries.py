@@ -77,7 +77,7 @@ def c4_ordinal_null_label(spark, sf_dir):
   CAST({map_case('Industry', R.DASHBOARD_INDUSTRY_CODES, '1')} AS INT) AS IndustryDashboard,
   CAST({map_case('Stage', R.DASHBOARD_STAGE_CODES, '2')} AS INT) AS StageDashboard FROM records""")
 def c5_apply_encoding(spark, sf_dir):
-    service, dashboard = io.service_encodings(spark), io.dashboard_encodings(spark)
+    service, dashboard = io.SERVICE_CODES, io.encoding_table(spark, io.DASHBOARD_CODES)
     df = V.raw_records(spark, sf_dir)
     df = E.apply_encoding(df, "City", service, 0, "CityService")
     df = E.apply_encoding(df, "City", dashboard, 0, "CityDashboard")

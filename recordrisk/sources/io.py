@@ -40,15 +40,10 @@ def encoding_table(spark: SparkSession, maps: dict) -> DataFrame:
     return spark.createDataFrame(rows, ENCODING)
 
 
-def service_encodings(spark: SparkSession) -> DataFrame:
-    return encoding_table(spark, {"City": R.SERVICE_CITY_CODES, "Industry": R.SERVICE_INDUSTRY_CODES})
-
-
-def dashboard_encodings(spark: SparkSession) -> DataFrame:
-    return encoding_table(spark, {
-        "City": R.DASHBOARD_CITY_CODES, "Industry": R.DASHBOARD_INDUSTRY_CODES,
-        "Stage": R.DASHBOARD_STAGE_CODES,
-    })
+SERVICE_CODES = {"City": R.SERVICE_CITY_CODES, "Industry": R.SERVICE_INDUSTRY_CODES}
+DASHBOARD_CODES = {
+    "City": R.DASHBOARD_CITY_CODES, "Industry": R.DASHBOARD_INDUSTRY_CODES, "Stage": R.DASHBOARD_STAGE_CODES,
+}
 
 
 def save_encodings(encodings: DataFrame, path: str, format="json") -> None:

@@ -58,8 +58,9 @@ def test_ordinal_is_bijective_and_sorted(spark, monkeypatch, limit):
 def test_apply_encoding_default_and_wide_table(spark, monkeypatch):
     df = by_id(spark, ["Pune", "Delhi", None, "Atlantis"])
     codes = io.encoding_table(spark, {"v": {"Pune": 7, "Delhi": 3}, "w": {"Pune": 1}})
-    for limit in (1, 100):
-        monkeypatch.setattr(E, "SMALL_ROWS", limit)
+    for small, case in ((1, 1), (100, 1), (100, 64)):  # joined, broadcast, one expression
+        monkeypatch.setattr(E, "SMALL_ROWS", small)
+        monkeypatch.setattr(E, "CASE_VALUES", case)
         assert column(E.apply_encoding(df, "v", codes, 0), "vEncoded") == [7, 3, 0, 0]
         assert column(E.apply_encoding(df, "v", codes), "vEncoded") == [7, 3, None, None]
 
@@ -111,5 +112,5 @@ def test_log_upgrade(spark):
     old = spark.createDataFrame([(1, 10, 2, 6, 3, "Safe")], "pred_id long, Funding long, Rounds long, City long, Industry long, Prediction string")
     row = io.upgrade_log_v1(old).first()
     assert (row["City"], row["Industry"], row["Stage"], row["Confidence"]) == ("6", "3", None, None)
-    row = io.upgrade_log_v1(old, io.dashboard_encodings(spark)).first()
+    row = io.upgrade_log_v1(old, io.encoding_table(spark, io.DASHBOARD_CODES)).first()
     assert (row["City"], row["Industry"]) == ("Bangalore", "E-Commerce")

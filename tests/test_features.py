@@ -54,7 +54,7 @@ def test_feature_fit_columns_and_reuse(spark, data):
     assert one["TotalFunding"] == fit.cap and one["FundingRounds"] == 1.0
     assert (one["StageEncoded"], one["IsMajorCity"], one["IsTechIndustry"], one["FundingBand"]) == (4, 1, 1, 5)
     assert (two["TotalFunding"], two["FundingRounds"], two["StageEncoded"], two["FundingBand"]) == (None, 1.0, 2, 5)
-    codes = {r["value"]: r["code"] for r in fit.encodings.where("feature = 'City'").collect()}
+    codes = {r["value"]: r["code"] for r in fit.encodings(spark).where("feature = 'City'").collect()}
     assert two["CityEncoded"] == codes["Other"]
     assert sorted(codes.values()) == list(range(len(codes)))
 
