@@ -32,11 +32,27 @@ def keyword_rules(c, rules, default, strip=True) -> Column:
     """
     text = F.coalesce(strip_lower(c) if strip else F.lower(as_col(c)), F.lit(""))
     expr = F
-    for result, words in rules:
+    for result, words in distinct_keywords(rules):
         expr = expr.when(reduce(or_, [text.contains(w) for w in words]), F.lit(result))
     return expr.otherwise(F.lit(default))
 
 
+def distinct_keywords(rules):
+    """The rules without keywords that change nothing.
+
+    A keyword that contains another one of its own rule, or of an earlier rule, only matches
+    texts which that one has decided already.
+    """
+    kept, earlier = [], []
+    for result, words in rules:
+        own = [w for w in words if not any(o in w for o in earlier)
+               and not any(o in w for o in words if o != w)]
+        earlier += own
+        if own:
+            kept.append((result, own))
+    return kept
+
+
 def stage_code(c, rules="train") -> Column:
     """Stage text to 1..9; unknown and missing text counts as seed level."""
     if rules == "train":

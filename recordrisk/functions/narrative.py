@@ -38,11 +38,18 @@ def _is_major(city) -> Column:
 
 
 def _sentence(prefix, parts, joiner) -> Column:
-    kept = F.filter(F.array(*parts), lambda p: p.isNotNull())
-    kept = F.when(F.size(kept) == 0, F.array(F.lit(R.REASON_FALLBACK))).otherwise(kept)
-    return F.concat(
-        F.lit(prefix), F.array_join(F.slice(kept, 1, R.REASON_LIMIT), joiner), F.lit(R.REASON_SUFFIX)
-    )
+    """The first few texts whose condition holds, in order.
+
+    ``parts`` are (condition, text). A part is dropped once enough earlier ones hold, which
+    keeps the whole sentence in generated code, without arrays.
+    """
+    seen, kept = F.lit(0), []
+    for place, (condition, text) in enumerate(parts):
+        room = condition if place < R.REASON_LIMIT else condition & (seen < R.REASON_LIMIT)
+        kept.append(F.when(room, text))
+        seen = seen + F.when(condition, 1).otherwise(0)
+    body = F.when(seen == 0, R.REASON_FALLBACK).otherwise(F.concat_ws(joiner, *kept))
+    return F.concat(F.lit(prefix), body, F.lit(R.REASON_SUFFIX))
 
 
 def reason_text(prediction, funding, rounds, city, industry, stage, style="service", symbol="$") -> Column:
@@ -50,28 +57,27 @@ def reason_text(prediction, funding, rounds, city, industry, stage, style="servi
     prediction, funding, rounds = as_col(prediction), as_col(funding), as_col(rounds)
     city, industry, stage = as_col(city), as_col(industry), as_col(stage)
     m = funding.cast("double") / MILLION
-    sign = F.lit(symbol)
-    tech = _yes(industry.isin(R.TECH_INDUSTRIES))
-    count = rounds.cast("string")
+    sign, count = F.lit(symbol), rounds.cast("string")
+    major, tech = _is_major(city), _yes(industry.isin(R.TECH_INDUSTRIES))
 
     good, bad = R.SAFE_REASONS, {**R.FAILED_REASONS, **R.FAILED_REASONS_BY_STYLE[style]}
+    tenths = fixed_text(m, 1)
     safe = _sentence(R.SAFE_PREFIX, [
-        F.when(m >= 10, _fill(good["strong"], symbol=sign, amount=fixed_text(m, 1)))
-        .when(m >= 1, _fill(good["solid"], symbol=sign, amount=fixed_text(m, 1)))
-        .otherwise(F.lit(good["early"])),
-        F.when(rounds >= 3, _fill(good["many_rounds"], rounds=count))
-        .when(rounds >= 2, _fill(good["some_rounds"], rounds=count)),
-        F.when(_is_major(city), _fill(good["city"], city=city)),
-        F.when(tech, _fill(good["tech"], industry=industry)),
-        F.when(_mentions(stage, R.LATE_STAGE_WORDS[style]), F.lit(good["late"])),
+        (F.lit(True), F.when(m >= 10, _fill(good["strong"], symbol=sign, amount=tenths))
+            .when(m >= 1, _fill(good["solid"], symbol=sign, amount=tenths)).otherwise(good["early"])),
+        (_yes(rounds >= 2), F.when(rounds >= 3, _fill(good["many_rounds"], rounds=count))
+            .otherwise(_fill(good["some_rounds"], rounds=count))),
+        (major, _fill(good["city"], city=city)),
+        (tech, _fill(good["tech"], industry=industry)),
+        (_yes(_mentions(stage, R.LATE_STAGE_WORDS[style])), F.lit(good["late"])),
     ], R.SAFE_JOIN)
     failed = _sentence(R.FAILED_PREFIX, [
-        F.when(m < 0.1, F.lit(bad["none"]))
-        .when(m < 0.5, _fill(bad["little"], symbol=sign, amount=fixed_text(m, 2))),
-        F.when(rounds <= 1, F.lit(bad["rounds"])),
-        F.when(~_is_major(city), _fill(bad["city"], city=city)),
-        F.when(~tech, _fill(bad["industry"], industry=industry)),
-        F.when(_mentions(stage, R.STRESS_STAGE_WORDS[style]), F.lit(bad["debt"])),
+        (_yes(m < 0.5), F.when(m < 0.1, bad["none"])
+            .otherwise(_fill(bad["little"], symbol=sign, amount=fixed_text(m, 2)))),
+        (_yes(rounds <= 1), F.lit(bad["rounds"])),
+        (~major & city.isNotNull(), _fill(bad["city"], city=city)),
+        (~tech & industry.isNotNull(), _fill(bad["industry"], industry=industry)),
+        (_yes(_mentions(stage, R.STRESS_STAGE_WORDS[style])), F.lit(bad["debt"])),
     ], R.FAILED_JOIN)
     return F.when(prediction == "Safe", safe).otherwise(failed)
 

@@ -13,6 +13,7 @@ from recordrisk.operators.evaluate import binary_metrics
 from recordrisk.operators.features import fit_scaling
 from recordrisk.operators.resample import SEED, balanced_weights, stratified_folds, union_all
 from recordrisk.schemas import FEATURES, METRIC, TARGET
+from recordrisk.workspace import durable
 
 
 def _fit(df, stage, features, label, weight):
@@ -140,17 +141,13 @@ def cross_validate_f1(df: DataFrame, key, train, k=5, features=FEATURES, label=T
     if resample and when == "before":
         df = resample(df).withColumn("_row", F.coalesce(F.col(key).cast("string"), F.concat_ws(":", label, "draw")))
         key = "_row"
-    folds = stratified_folds(df, key, label, k, seed).persist()
-    try:
-        scores = []
-        for fold in range(k):
-            rows = folds.where(F.col("fold") != fold)
-            if resample and when == "inside":
-                rows = resample(rows)
-            tested = predict(train(rows), folds.where(F.col("fold") == fold))
-            scores.append(binary_metrics(tested, label, "prediction").first()["f1"])
-    finally:
-        folds.unpersist()
+    folds, scores = durable(stratified_folds(df, key, label, k, seed)), []
+    for fold in range(k):
+        rows = folds.where(F.col("fold") != fold)
+        if resample and when == "inside":
+            rows = resample(rows)
+        tested = predict(train(rows), folds.where(F.col("fold") == fold))
+        scores.append(binary_metrics(tested, label, "prediction").first()["f1"])
     mean = sum(scores) / k
     deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
     rows = [("cv", f"fold_{i}", s) for i, s in enumerate(scores)]
