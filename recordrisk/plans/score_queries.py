@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from recordrisk.functions import columns as C, tables as R
+from recordrisk.functions import tables as R
 from recordrisk.functions.narrative import advice_text, reason_text
 from recordrisk.operators import models as G, score as I
 from recordrisk.operators.features import build_features_basic, fit_encodings_basic
 from recordrisk.plans.model_data import model_table
 from recordrisk.plans.profile_queries import KPI_SQL, OUTCOME_SQL
 from recordrisk.plans.registry import query
-from recordrisk.plans.sqltext import HISTORY, advice_sql, industry_case, quoted, reason_sql
+from recordrisk.plans.sqltext import HISTORY, advice_sql, industry_case, reason_sql
 from recordrisk.schemas import TARGET
 from recordrisk.sources import io, views as V
 from recordrisk.streaming import streams as J

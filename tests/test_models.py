@@ -97,7 +97,7 @@ def test_cross_validation(table):
         assert got["mean_f1"] > 0.7
 
 
-@pytest.mark.parametrize("balance", ["smote", "weights", "positive_weight"])
+@pytest.mark.parametrize("balance", ["smote", "positive_weight"])
 def test_train_run(spark, data, balance):
     config = TrainConfig(balance=balance, forest={"trees": 2, "depth": 3}, boosted={"rounds": 1, "depth": 2},
                          logistic={"max_iter": 5})
