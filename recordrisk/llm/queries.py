@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from recordrisk.llm.exact_dedup import exact_groups
+from recordrisk.llm.packing import pack
+from recordrisk.llm.quality import fit_quality, in_fold, score_quality
 from recordrisk.llm.shared import table
 from recordrisk.llm.token_counts import count_tokens
 from recordrisk.workspace import shared_folder
@@ -37,3 +39,15 @@ def op2_exact_dedup(spark, sf_dir):
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(), shared_folder(spark, "token-cache"), limit=512)
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", in_fold().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
