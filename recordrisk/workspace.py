@@ -1,7 +1,9 @@
 """Where jobs put durable intermediate data, and how small results are recognised."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,3 +53,23 @@ def lookup(df: DataFrame, table: DataFrame, on, how="left", max_rows: int = SMAL
         return df.join(table, on, how)
     local = df.sparkSession.createDataFrame(rows, table.schema)
     return df.join(F.broadcast(local), on, how)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of a session that was started without it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="recordrisk-"), "recordrisk.zip")  # only the driver reads it
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("recordrisk", os.path.relpath(full, top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
