@@ -23,24 +23,22 @@ RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Most valuable filling of one sequence (unbounded knapsack), and its count of each size."""
-    use = np.flatnonzero(prices > 1e-12)
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    s, p = sizes[use], prices[use]
+    price = np.full(capacity + 1, -np.inf)
+    price[sizes] = prices
+    index = np.zeros(capacity + 1, np.int64)
+    index[sizes] = np.arange(len(sizes))
+    value, choice = np.zeros(capacity + 1), [0] * (capacity + 1)
     for c in range(1, capacity + 1):
-        fit = int(np.searchsorted(s, c, "right"))
-        value[c], choice[c] = value[c - 1], -1
-        if fit:
-            worth = value[c - s[:fit]] + p[:fit]
-            k = int(worth.argmax())
-            if worth[k] > value[c] + 1e-12:
-                value[c], choice[c] = worth[k], k
+        worth = price[1 : c + 1] + value[c - 1 :: -1]  # a size first, then the best filling of the rest
+        k = int(worth.argmax())
+        value[c] = value[c - 1]
+        if worth[k] > value[c] + 1e-12:
+            value[c], choice[c] = worth[k], k + 1
     counts, c = np.zeros(len(sizes)), capacity
     while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[use[choice[c]]] += 1
-            c -= int(s[choice[c]])
+        if choice[c]:
+            counts[index[choice[c]]] += 1
+        c -= choice[c] or 1
     return float(value[capacity]), counts
 
 
@@ -54,13 +52,15 @@ def cutting_stock(sizes, demand, capacity: int, tolerance: float = 1e-3, rounds:
     patterns = np.diag(capacity // sizes).astype(float)  # a column is a pattern
     inverse, used = np.diag(1 / np.diag(patterns)), demand / np.diag(patterns)
     least = (sizes * demand).sum() / capacity
+    prices = inverse.sum(axis=0)
     for step in range(rounds):
         if used.sum() <= least * (1 + tolerance):
             break
-        value, column = best_pattern(inverse.sum(axis=0), sizes, capacity)
+        value, column = best_pattern(prices, sizes, capacity)
         if value <= 1 + tolerance:
             break
-        change = inverse @ column
+        some = np.flatnonzero(column)
+        change = (inverse[:, some] * column[some]).sum(axis=1)
         able = change > 1e-9
         ratio = np.full(len(used), np.inf)
         ratio[able] = np.maximum(used[able], 0) / change[able]
@@ -70,11 +70,12 @@ def cutting_stock(sizes, demand, capacity: int, tolerance: float = 1e-3, rounds:
         used[out] = amount
         patterns[:, out] = column
         row = inverse[out] / change[out]
-        inverse = inverse - np.outer(change, row)
+        inverse -= change[:, None] * row
         inverse[out] = row
+        prices = prices - (value - 1) * row
         if step % 256 == 255:
             inverse = np.linalg.inv(patterns)
-            used = inverse @ demand
+            used, prices = inverse @ demand, inverse.sum(axis=0)
     return patterns, np.maximum(used, 0)
 
 

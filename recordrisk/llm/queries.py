@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from recordrisk.llm.exact_dedup import exact_groups
+from recordrisk.llm.near_dedup import near_classes
 from recordrisk.llm.packing import pack
 from recordrisk.llm.quality import fit_quality, in_fold, score_quality
 from recordrisk.llm.shared import table
@@ -51,3 +52,8 @@ def op9_quality(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark, sf_dir):
+    return near_classes(table(spark, sf_dir, "documents"))

@@ -158,3 +158,18 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+# ---- joins ----------------------------------------------------------------------------------------------------
+
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Joins ``small`` (one narrow row a key) to ``rows``, of which one key may have a third.
+
+    The rows of a key go to ``salts`` tasks by the hash of column ``spread``; every row of ``small`` is sent to each.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
