@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from recordrisk.llm.block_dedup import remove_repeated_words
+from recordrisk.llm.decontaminate import find_passages
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.near_dedup import near_classes
 from recordrisk.llm.packing import pack
 from recordrisk.llm.quality import fit_quality, in_fold, score_quality
 from recordrisk.llm.shared import table
+from recordrisk.llm.suffix_dedup import remove_repeated_bytes
 from recordrisk.llm.token_counts import count_tokens
 from recordrisk.workspace import shared_folder
 
@@ -57,3 +60,18 @@ def op10_packing(spark, sf_dir):
 @query("op1_near_dedup")
 def op1_near_dedup(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark, sf_dir):
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), least=200)
+
+
+@query("op7_block_dedup")
+def op7_block_dedup(spark, sf_dir):
+    return remove_repeated_words(table(spark, sf_dir, "documents"), window=50)
