@@ -6,6 +6,7 @@ from recordrisk.llm.block_dedup import remove_repeated_words
 from recordrisk.llm.decontaminate import find_passages
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.near_dedup import near_classes
+from recordrisk.llm.ngram_lm import score_texts
 from recordrisk.llm.packing import pack
 from recordrisk.llm.quality import fit_quality, in_fold, score_quality
 from recordrisk.llm.shared import table
@@ -75,3 +76,8 @@ def op4_suffix_dedup(spark, sf_dir):
 @query("op7_block_dedup")
 def op7_block_dedup(spark, sf_dir):
     return remove_repeated_words(table(spark, sf_dir, "documents"), window=50)
+
+
+@query("op5_lm_score")
+def op5_lm_score(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
