@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from recordrisk.llm.block_dedup import remove_repeated_words
 from recordrisk.llm.decontaminate import find_passages
 from recordrisk.llm.exact_dedup import exact_groups
+from recordrisk.llm.line_dedup import remove_repeated_lines
 from recordrisk.llm.near_dedup import near_classes
 from recordrisk.llm.ngram_lm import score_texts
 from recordrisk.llm.packing import pack
@@ -81,3 +82,8 @@ def op7_block_dedup(spark, sf_dir):
 @query("op5_lm_score")
 def op5_lm_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    return remove_repeated_lines(table(spark, sf_dir, "documents"))
