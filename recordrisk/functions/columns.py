@@ -168,29 +168,33 @@ def outcome_label(c, safe_code=1) -> Column:
     return F.when(as_col(c) == safe_code, "Safe").otherwise("Failed")
 
 
+def finite(c) -> Column:
+    """The number as double; NaN and the infinities count as missing."""
+    c = as_col(c).cast("double")
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
 def fixed_text(c, digits) -> Column:
     """Text with one or two decimals, rounded half-even on the exact binary value.
 
-    ``format_string`` and ``round`` start from the shortest decimal text of a double and
-    so round 1.15 up although the stored number lies below it. Here the fraction is taken
-    as a whole number of 2**-56 steps, which is exact for values of 1/16 and above, and
-    rounded in long arithmetic.
+    ``format_string`` and ``round`` start from the shortest decimal text of a double and so round 1.15 up although the
+    stored number lies below it. Here the fraction is split into two parts whose products with the power of ten are
+    exact, so the distance from a tie has the right sign. Beyond 2**52 a double has no fraction, and beyond 38 digits there is
+    no text; missing, NaN and infinite values have none either.
     """
-    x = as_col(c).cast("double")
+    x, scale = finite(c), float(10**digits)
     size = F.abs(x)
-    whole = F.floor(size).cast("long")
-    steps = ((size - whole) * float(2**56)).cast("long") * F.lit(10**digits).cast("long")
-    quotient = F.shiftright(steps, 56)
-    rest = steps - F.shiftleft(quotient, 56)
-    half = F.lit(2**55)
-    up = (rest > half) | ((rest == half) & (quotient % 2 == 1))
-    total = whole * (10**digits) + quotient + F.when(up, 1).otherwise(0)
-    text = F.concat(
-        F.floor(total / F.lit(10**digits)).cast("string"),
-        F.lit("."),
-        F.lpad((total % (10**digits)).cast("string"), digits, "0"),
-    )
-    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    part = size % F.lit(1.0)
+    high = F.floor(part * float(2**27)) / F.lit(float(2**27))
+    steps = F.floor(part * scale)
+    past_tie = (high * scale - steps - F.lit(0.5)) + (part - high) * scale
+    up = (past_tie > 0) | ((past_tie == 0) & (steps % 2 == 1))
+    units = steps + F.when(up, 1).otherwise(0)
+    carry = F.when(units >= int(scale), 1).otherwise(0)
+    whole = F.floor(F.when(size < float(2**52), size)).cast("long") + carry
+    small = F.concat(whole.cast("string"), F.lit("."), F.lpad((units - carry * int(scale)).cast("string"), digits, "0"))
+    large = F.concat(size.try_cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(small, large))
 
 
 def percent_text(share) -> Column:

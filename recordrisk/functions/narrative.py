@@ -7,7 +7,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from recordrisk.functions import tables as R
-from recordrisk.functions.columns import as_col, fixed_text
+from recordrisk.functions.columns import as_col, finite, fixed_text
 
 MILLION = 1_000_000
 
@@ -52,16 +52,29 @@ def _sentence(prefix, parts, joiner) -> Column:
     return F.concat(F.lit(prefix), body, F.lit(R.REASON_SUFFIX))
 
 
+def with_amounts(df, funding):
+    """Adds the amounts that ``reason_text`` shows, as columns of their own.
+
+    A sentence names an amount in several branches. Made beforehand it is computed once, and the sentence stays small enough
+    for generated code.
+    """
+    millions = finite(funding) / MILLION
+    return df.withColumns({"_tenths": fixed_text(millions, 1), "_hundredths": fixed_text(millions, 2)})
+
+
 def reason_text(prediction, funding, rounds, city, industry, stage, style="service", symbol="$") -> Column:
-    """Up to three reasons in rule order, worded for the predicted outcome."""
-    prediction, funding, rounds = as_col(prediction), as_col(funding), as_col(rounds)
+    """Up to three reasons in rule order, worded for the predicted outcome.
+
+    Needs the columns of ``with_amounts``. An amount that is missing, NaN or infinite is treated as missing.
+    """
+    prediction, rounds = as_col(prediction), as_col(rounds)
     city, industry, stage = as_col(city), as_col(industry), as_col(stage)
-    m = funding.cast("double") / MILLION
+    m = finite(funding) / MILLION
     sign, count = F.lit(symbol), rounds.cast("string")
     major, tech = _is_major(city), _yes(industry.isin(R.TECH_INDUSTRIES))
 
     good, bad = R.SAFE_REASONS, {**R.FAILED_REASONS, **R.FAILED_REASONS_BY_STYLE[style]}
-    tenths = fixed_text(m, 1)
+    tenths = F.coalesce("_tenths", F.lit("?"))
     safe = _sentence(R.SAFE_PREFIX, [
         (F.lit(True), F.when(m >= 10, _fill(good["strong"], symbol=sign, amount=tenths))
             .when(m >= 1, _fill(good["solid"], symbol=sign, amount=tenths)).otherwise(good["early"])),
@@ -73,7 +86,7 @@ def reason_text(prediction, funding, rounds, city, industry, stage, style="servi
     ], R.SAFE_JOIN)
     failed = _sentence(R.FAILED_PREFIX, [
         (_yes(m < 0.5), F.when(m < 0.1, bad["none"])
-            .otherwise(_fill(bad["little"], symbol=sign, amount=fixed_text(m, 2)))),
+            .otherwise(_fill(bad["little"], symbol=sign, amount=F.coalesce("_hundredths", F.lit("?"))))),
         (_yes(rounds <= 1), F.lit(bad["rounds"])),
         (~major & city.isNotNull(), _fill(bad["city"], city=city)),
         (~tech & industry.isNotNull(), _fill(bad["industry"], industry=industry)),
@@ -84,7 +97,7 @@ def reason_text(prediction, funding, rounds, city, industry, stage, style="servi
 
 def advice_text(prediction, funding, rounds, city, style="service") -> Column:
     """The first advice whose condition holds, by outcome."""
-    m = as_col(funding).cast("double") / MILLION
+    m = finite(funding) / MILLION
     rounds = as_col(rounds)
     good, bad = R.SAFE_ADVICE[style], R.FAILED_ADVICE[style]
     safe = F.when(m < 1, good[0]).when(m < 5, good[1]).when(rounds < 3, good[2]).otherwise(good[3])

@@ -62,22 +62,28 @@ def fit_ordinal(df: DataFrame, col, feature=None, null_label=None) -> DataFrame:
     return numbered.select(F.lit(feature or col).alias("feature"), "value", F.col("code").cast("int").alias("code"))
 
 
+def unique_codes(encoding: DataFrame, feature) -> DataFrame:
+    """(_value, _code) of a feature, one row a value: of contradicting codes the smallest holds."""
+    codes = encoding.where((F.col("feature") == feature) & F.col("value").isNotNull())
+    return codes.groupBy(F.col("value").alias("_value")).agg(F.min("code").alias("_code"))
+
+
 def apply_encoding(df: DataFrame, col, encoding, default=None, out=None, feature=None,
-                   null_label=None) -> DataFrame:
+                   null_label=None, case_values=CASE_VALUES, small_rows=SMALL_ROWS) -> DataFrame:
     """Code of each value; values the encoding does not have get ``default``.
 
-    ``encoding`` is an encoding table or ``{feature: {value: code}}``. A few values become
-    one expression, more are broadcast, and a table beyond ``SMALL_ROWS`` is joined.
+    ``encoding`` is an encoding table or ``{feature: {value: code}}``. A value that a table lists more than once has
+    its smallest code. Up to ``case_values`` values become one expression, more are broadcast if their rows and
+    bytes are few, and a larger table is joined; the answer is the same in all three.
     """
     out, feature = out or f"{col}Encoded", feature or col
     key = C.stringify(col, null_label) if null_label else F.col(col).cast("string")
     if isinstance(encoding, dict):
         rows, codes = list(encoding[feature].items()), None
     else:
-        codes = encoding.where(F.col("feature") == feature).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code"))
-        rows = small_or_none(codes, SMALL_ROWS)
-    if rows is not None and len(rows) <= CASE_VALUES:
+        codes = unique_codes(encoding, feature)
+        rows = small_or_none(codes, small_rows)
+    if rows is not None and len(rows) <= case_values:
         code = C.map_literal(key, dict(map(tuple, rows)))
         return df.withColumn(out, (code if default is None else F.coalesce(code, F.lit(default))).cast("int"))
     if rows is not None:

@@ -6,27 +6,29 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from recordrisk.functions import columns as C, tables as R
-from recordrisk.operators.encode import OTHER, apply_encoding, fit_ordinal, frequent_values, ordinal_codes
+from recordrisk.operators.encode import OTHER, apply_encoding, fit_ordinal, ordinal_codes
 from recordrisk.schemas import FEATURES, FEATURES_BASIC
-from recordrisk.sources.io import encoding_table
+from recordrisk.sources.io import encoding_table, load_document, save_document
+from recordrisk.workspace import durable
 
 # A bracket of at most this many rows is ranked in one task.
 RANKED_ROWS = 1_000_000
 
 
-def _value_at_rank(values: DataFrame, rank, size):
+def _value_at_rank(values: DataFrame, rank, size, ranked_rows):
     """The value at a zero-based rank of the non-missing column ``v``.
 
     A sketch brackets the rank and one exact count per round says which side of the
     bracket's ends it lies on. The ends leave the bracket with all their copies, so a value
-    that a third of the rows share never reaches the last step, which ranks what is left.
+    that a third of the rows share never reaches the last step, which ranks what is left. A bracket as wide as the column
+    ends at its least and largest value, so every round leaves fewer rows.
     """
     below, margin = 0, 1e-3
     v = F.col("v")
-    while size > RANKED_ROWS and margin <= 1:
+    while size > ranked_rows:
         at, wanted = (rank - below) / size, rank - below
         ends = [max(at - margin, 0.0), min(at + margin, 1.0)]
-        low, high = values.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+        low, high = values.agg(F.percentile_approx("v", ends, 10_000)).first()[0] if margin < 1 else values.agg(F.min("v"), F.max("v")).first()
         under, at_low, inside, at_high = values.agg(
             F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)),
             F.count_if((v == high) & (v > low))).first()
@@ -43,12 +45,11 @@ def _value_at_rank(values: DataFrame, rank, size):
     return ranked.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
 
 
-def quantile_value(df: DataFrame, col, q, method="exact"):
+def quantile_value(df: DataFrame, col, q, method="exact", ranked_rows=RANKED_ROWS):
     """Linearly interpolated quantile as a number, missing values skipped.
 
-    ``"exact"`` takes the built-in percentile for a column of known small size. Beyond it,
-    where that function would hold all values in one task, a few aggregates find the two
-    ranks. ``"approx"`` is a single sketch pass.
+    ``"exact"`` finds the two ranks around the quantile by a few aggregates and interpolates between them, the same way at
+    every size. ``"approx"`` is a single sketch pass.
     """
     values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     if method == "approx":
@@ -56,11 +57,9 @@ def quantile_value(df: DataFrame, col, q, method="exact"):
     n = values.count()
     if n == 0:
         return None
-    if n <= RANKED_ROWS:
-        return values.agg(F.percentile("v", q)).first()[0]
     position = q * (n - 1)
     first, last = math.floor(position), math.ceil(position)
-    low = _value_at_rank(values, first, n)
+    low = _value_at_rank(values, first, n, ranked_rows)
     if first == last:
         return low
     upto, following = values.agg(
@@ -94,32 +93,61 @@ class FeatureFit:
     """What the feature builder learned from the training records.
 
     Holds the cap, the kept cities (at most ``top_cities``) and the codes per feature, and
-    applies them to any records: one code path for training and scoring.
+    applies them to any records: one code path for training and scoring. ``save`` and ``load`` keep all of it, with the
+    feature list and the stage codes for readers of the file.
     """
 
     def __init__(self, cap, cities, codes, rules):
         self.cap, self.cities, self.codes, self.rules = cap, cities, codes, rules
 
-    def transform(self, df: DataFrame, keep=()) -> DataFrame:
+    def transform(self, df: DataFrame, keep=(), unknown=None) -> DataFrame:
+        """The features of records. A city that was not kept is folded; ``unknown`` is the code of a value without one."""
         city = F.when(F.col("City").isin(self.cities), F.col("City")).otherwise(OTHER)
         clean = df.replace(R.CITY_FIXES, subset=["City"]).withColumn("City", city)
-        return build_features(clean, self.codes, self.rules, self.cap, keep=keep)
+        return build_features(clean, self.codes, self.rules, self.cap, unknown, unknown, keep=keep)
 
     def encodings(self, spark) -> DataFrame:
         return encoding_table(spark, self.codes)
 
+    def document(self) -> dict:
+        return {"cap": self.cap, "cities": self.cities, "codes": self.codes, "rules": self.rules,
+                "features": FEATURES, "stage_rules": [[code, list(words)] for code, words in _stage_rules(self.rules)], "stage_default": R.STAGE_DEFAULT}
+
+    def save(self, spark, path) -> None:
+        """One JSON document, whose size is bounded by the kept cities and industry classes."""
+        save_document(spark, self.document(), path)
+
+    @classmethod
+    def load(cls, spark, path) -> "FeatureFit":
+        doc = load_document(spark, path)
+        if doc["features"] != FEATURES or doc["stage_rules"] != cls(None, [], {}, doc["rules"]).document()["stage_rules"]:
+            raise ValueError(f"{path} was fitted with other features or stage rules")
+        return cls(doc["cap"], doc["cities"], doc["codes"], doc["rules"])
+
+
+def _stage_rules(rules):
+    return R.STAGE_RULES_TRAIN if rules == "train" else R.STAGE_RULES_SERVE
+
 
 def fit_features(df: DataFrame, rules="train", q=0.99, top_cities=15, method="exact") -> FeatureFit:
-    """Learn cap, kept cities and codes; each is a small result of its own aggregate."""
+    """Learn cap, kept cities and codes.
+
+    The quantile has its own passes; one aggregate over city and industry gives the row count, the kept cities and the
+    classes. Its groups are few next to the rows.
+    """
     cap = quantile_value(df, "TotalFunding", q, method)
-    rows = df.count()
-    clean = df.select("City").replace(R.CITY_FIXES, subset=["City"])
-    top = frequent_values(clean, "City", top_cities, counts=True).collect()
-    cities = [r["City"] for r in top]
-    folded = {OTHER} if sum(r["n"] for r in top) < rows else set()
-    classes = df.select(C.industry_class("Industry", rules).alias("c")).distinct().collect()
-    return FeatureFit(cap, cities, {
-        "City": ordinal_codes(folded.union(cities)), "Industry": ordinal_codes(r["c"] for r in classes)}, rules)
+    pairs = df.select("City", C.industry_class("Industry", rules).alias("c")).replace(R.CITY_FIXES, subset=["City"])
+    counts = pairs.groupBy("City", "c").agg(F.count(F.lit(1)).alias("n"))
+    cities = counts.groupBy("City").agg(F.sum("n").alias("n"), F.collect_set("c").alias("classes"))
+    cities = durable(cities)
+    kept = cities.where(F.col("City").isNotNull()).orderBy(F.desc("n"), "City").limit(top_cities)
+    total = cities.agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"))
+    both = kept.select("City", "n", F.lit(None).cast("array<string>").alias("classes")).unionAll(total.select(F.lit(None).cast("string"), "n", "classes")).collect()
+    names = [r["City"] for r in both if r["classes"] is None]
+    rest = next(r for r in both if r["classes"] is not None)
+    folded = {OTHER} if sum(r["n"] for r in both if r["classes"] is None) < (rest["n"] or 0) else set()
+    return FeatureFit(cap, names, {
+        "City": ordinal_codes(folded.union(names)), "Industry": ordinal_codes(rest["classes"])}, rules)
 
 
 def build_features(df: DataFrame, encodings, rules="train", cap=None, city_default=None,

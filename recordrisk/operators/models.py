@@ -9,11 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from recordrisk.functions import columns as C, tables as R
-from recordrisk.operators.evaluate import binary_metrics
+from recordrisk.operators.evaluate import confusion_counts
 from recordrisk.operators.features import fit_scaling
-from recordrisk.operators.resample import SEED, balanced_weights, stratified_folds, union_all
+from recordrisk.operators.resample import SEED, balanced_weights, stratified_folds
 from recordrisk.schemas import FEATURES, METRIC, TARGET
-from recordrisk.workspace import durable
+from recordrisk.workspace import durable, scratch
 
 
 def _fit(df, stage, features, label, weight):
@@ -132,7 +132,7 @@ def rule_classifier(df: DataFrame, col="Funding", threshold=R.RULE_THRESHOLD) ->
 
 def cross_validate_f1(df: DataFrame, key, train, k=5, features=FEATURES, label=TARGET, resample=None,
                       when="inside", seed=SEED) -> DataFrame:
-    """F1 per fold, then mean and population deviation.
+    """F1 and rows per fold, then mean and population deviation of F1.
 
     ``train`` fits a model on a table; ``resample`` balances one. By default it is applied
     to the training folds only; ``when="before"`` resamples first and folds afterwards,
@@ -141,19 +141,20 @@ def cross_validate_f1(df: DataFrame, key, train, k=5, features=FEATURES, label=T
     if resample and when == "before":
         df = resample(df).withColumn("_row", F.coalesce(F.col(key).cast("string"), F.concat_ws(":", label, "draw")))
         key = "_row"
-    folds, scores = durable(stratified_folds(df, key, label, k, seed)), []
-    for fold in range(k):
-        rows = folds.where(F.col("fold") != fold)
-        if resample and when == "inside":
-            rows = resample(rows)
-        tested = predict(train(rows), folds.where(F.col("fold") == fold))
-        scores.append(binary_metrics(tested, label, "prediction").first()["f1"])
+    spark = df.sparkSession
+    with scratch(spark):
+        folds, scores, rows = durable(stratified_folds(df, key, label, k, seed)), [], []
+        for fold in range(k):
+            with scratch(spark):
+                seen = folds.where(F.col("fold") != fold)
+                if resample and when == "inside":
+                    seen = durable(resample(seen))
+                tested = predict(train(seen), folds.where(F.col("fold") == fold))
+                cells = confusion_counts(tested, label, "prediction").first()
+            hits, wrong = cells["tp"], cells["fp"] + cells["fn"]
+            scores.append(2 * hits / (2 * hits + wrong) if hits + wrong else 0.0)
+            rows.append(float(sum(cells)))
     mean = sum(scores) / k
     deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
-    rows = [("cv", f"fold_{i}", s) for i, s in enumerate(scores)]
-    return df.sparkSession.createDataFrame(rows + [("cv", "mean_f1", mean), ("cv", "std_f1", deviation)], METRIC)
-
-
-def importance_of(models: dict) -> DataFrame:
-    """Importances of several models in one table."""
-    return union_all(*[feature_importance(m).withColumn("model", F.lit(n)) for n, m in models.items()])
+    out = [("cv", f"fold_{i}", s) for i, s in enumerate(scores)] + [("cv", f"rows_{i}", n) for i, n in enumerate(rows)]
+    return spark.createDataFrame(out + [("cv", "mean_f1", mean), ("cv", "std_f1", deviation)], METRIC)

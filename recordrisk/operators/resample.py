@@ -44,11 +44,13 @@ def stratified_split(df: DataFrame, key, label, test_pct=20, seed=SEED, out="is_
 
     Rows are counted per class and leading hash bits. The counts name the one bucket per
     class in which the quota ends; only that bucket is sorted, to find the last test row.
-    Marking the table is then a comparison with one threshold per class, without a shuffle.
+    Marking the table is then a comparison with one threshold per class, without a shuffle. Rows that share a key share
+    a side; if a quota would end among them, the split is an error. A missing key counts as an empty text.
     """
     df = df.where(F.col(label).isNotNull())
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     quotas = test_quotas(class_counts(df, label), label, test_pct).where("quota > 0").select(label, "quota")
-    hashed = df.select(F.col(key).alias("_key"), label, hash60(seed, F.col(key)).alias("_hash"))
+    hashed = df.select(text.alias("_key"), label, hash60(seed, text).alias("_hash"))
     hashed = hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - BUCKET_BITS).cast("int"))
     buckets = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(label).orderBy("_bucket"))
@@ -57,14 +59,19 @@ def stratified_split(df: DataFrame, key, label, test_pct=20, seed=SEED, out="is_
         .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         .select(label, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
-    place = F.row_number().over(W.partitionBy(label).orderBy("_hash", "_key"))
+    # a key once, however many rows have it, so a hot key is no long window
+    inside = lookup(hashed, last, [label, "_bucket"], "inner").groupBy(label, "_hash", "_key", "_left").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.sum("_n").over(W.partitionBy(label).orderBy("_hash", "_key"))
     ends = (
-        lookup(hashed, last, [label, "_bucket"], "inner").withColumn("_place", place)
-        .where(F.col("_place") == F.col("_left"))
-        .select(label, F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key"))
+        inside.withColumn("_place", place)
+        .where((F.col("_place") >= F.col("_left")) & (F.col("_place") - F.col("_n") < F.col("_left")))
+        .select(label, F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key"), (F.col("_place") > F.col("_left")).alias("_torn"))
     )
-    h = hash60(seed, F.col(key))
-    inside = (h < F.col("_last_hash")) | ((h == F.col("_last_hash")) & (F.col(key) <= F.col("_last_key")))
+    ends = durable(ends)
+    for row in ends.where("_torn").limit(1).collect():
+        raise ValueError(f"class {row[label]}: the key {row['_last_key']!r} is repeated, so its quota cannot be met exactly")
+    h = hash60(seed, text)
+    inside = (h < F.col("_last_hash")) | ((h == F.col("_last_hash")) & (text <= F.col("_last_key")))
     marked = lookup(df, ends, label).withColumn(out, F.when(inside, 1).otherwise(0))
     return marked.select(*df.columns, out)
 
@@ -106,18 +113,22 @@ def upsample_with_replacement(df: DataFrame, key, label, majority=None, seed=SEE
     return kept.unionByName(drawn.select(*df.columns, "draw"))
 
 
-def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(), scale=False) -> DataFrame:
+def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(), scale=False, shrink_k=False) -> DataFrame:
     """Synthetic rows until every class is as large as the largest.
 
     A draw picks a row of the class, one of its ``k`` nearest rows of the same class, and a
     point on the line between them. Only rows that are drawn are searched for neighbours.
     Features are compared as they are unless ``scale`` is set; ``integer_cols`` are cut to
     whole numbers and missing values count as zero. Returns key (NULL for synthetic rows), label, features and ``draw``.
-    A class needs at least two rows; with ``k`` rows or fewer all others are neighbours.
+    A class of fewer than two rows is an error, and one of ``k`` rows or fewer too unless ``shrink_k``
+    allows all its others as neighbours. The largest class needs none.
     """
     features = list(features)
     rows = df.where(F.col(label).isNotNull()).select(key, label, *[zero_filled(c).alias(c) for c in features])
     rows = durable(rows)
+    counts = class_counts(rows, label)
+    for row in counts.where(F.col("n") <= (1 if shrink_k else k)).where(F.col("n") < counts.agg(F.max("n")).scalar()).orderBy("n").limit(1).collect():
+        raise ValueError(f"class {row[label]} has {row['n']} rows, too few for {k} neighbours")
     synthetic = smote_rows(rows, key, label, features, k, seed, integer_cols, scale)
     original = rows.withColumn("draw", F.lit(None).cast("long"))
     return original.unionByName(synthetic.withColumn(key, F.lit(None).cast(rows.schema[key].dataType)).select(

@@ -8,10 +8,29 @@ from recordrisk.sources import views as V
 from recordrisk.workspace import durable
 
 
+# The label of the model queries follows from a feature without noise, so the right predictions can be told by SQL.
+LATE_STAGE = 4
+
+
 def model_table(spark, sf_dir):
-    """The eleven features of every record with the label, written once."""
+    """The eleven features of every record with the label and the clear label, written once."""
+    return fitted_table(spark, sf_dir)[1]
+
+
+def fitted_table(spark, sf_dir):
     master = V.saved_master(spark, sf_dir)
-    return durable(fit_features(master).transform(master, ["id", TARGET]))
+    fit = fit_features(master)
+    return fit, durable(clear(fit.transform(master, ["id", TARGET])))
+
+
+def clear(table, label="target"):
+    """1 from a late stage on."""
+    return table.withColumn(label, F.when(F.col("StageEncoded") >= LATE_STAGE, 1).otherwise(0))
+
+
+def clear_classes(table, label="stage3"):
+    """Early, middle and late stages."""
+    return table.withColumn(label, F.when(F.col("StageEncoded") <= 2, 0).when(F.col("StageEncoded") <= 5, 1).otherwise(2))
 
 
 def learnable(table, label="target"):
@@ -19,11 +38,3 @@ def learnable(table, label="target"):
     rule = (F.coalesce(F.col("TotalFunding"), F.lit(0.0)) > 500_000) & (F.col("FundingRounds") >= 3)
     noise = F.col("id") % 20 == 0
     return table.withColumn(label, F.when(rule != noise, 1).otherwise(0))
-
-
-def three_classes(spark, sf_dir, table):
-    """The table with the three-valued status code of the raw records."""
-    status = V.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("status3"))
-    return table.join(status, "id")

@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from recordrisk.functions import tables as R
-from recordrisk.functions.narrative import advice_text, reason_text
+from recordrisk.functions.narrative import advice_text, reason_text, with_amounts
 from recordrisk.operators import models as G, score as I
-from recordrisk.operators.features import build_features_basic, fit_encodings_basic
-from recordrisk.plans.model_data import model_table
+from recordrisk.operators.features import FeatureFit, build_features_basic, fit_encodings_basic, fit_features
+from recordrisk.plans.encode_queries import rounded
+from recordrisk.plans.model_data import LATE_STAGE, fitted_table
 from recordrisk.plans.profile_queries import KPI_SQL, OUTCOME_SQL
 from recordrisk.plans.registry import query
-from recordrisk.plans.sqltext import HISTORY, advice_sql, industry_case, reason_sql
+from recordrisk.plans.sqltext import (
+    CITY_FIXED, FEATURES, HISTORY, RECORDS, advice_sql, band_case, in_list, industry_case, reason_sql, stage_case)
 from recordrisk.schemas import TARGET
 from recordrisk.sources import io, views as V
 from recordrisk.streaming import streams as J
@@ -21,7 +23,7 @@ _ARGS = ("Prediction", "Funding", "Rounds", "City")
 @query("i2_reason_text", f"""WITH {HISTORY} SELECT pred_id, {reason_sql('service')} AS service,
   {reason_sql('dashboard')} AS dashboard FROM history""")
 def i2_reason_text(spark, sf_dir):
-    return V.history(spark, sf_dir).select("pred_id", *[
+    return with_amounts(V.history(spark, sf_dir), "Funding").select("pred_id", *[
         reason_text(*_ARGS, "Industry", "Stage", style).alias(style) for style in ("service", "dashboard")])
 
 
@@ -66,24 +68,53 @@ def i1_score_batch(spark, sf_dir):
     return I.score_batch(requests, accuracy=0.8685).select("request_id", *I.RESPONSE)
 
 
-@query("i1_score_batch_model")
+_FITTED_SQL = f"""asked AS (SELECT pred_id, Funding, Rounds, City, Stage, {industry_case()} AS Industry, {stage_case()} AS code FROM history),
+said AS (SELECT pred_id, Funding, Rounds, City, Stage, Industry, CASE WHEN code >= {LATE_STAGE} THEN 'Safe' ELSE 'Failed' END AS Prediction FROM asked)"""
+
+
+@query("i1_score_batch_model", f"""WITH {HISTORY}, {_FITTED_SQL} SELECT pred_id AS request_id, Prediction AS prediction,
+  {reason_sql('service')} AS reason, {advice_sql('service')} AS advice, printf('%.1f', CAST(0.8685 AS DOUBLE) * 100) || '%' AS model_accuracy,
+  City AS city, Industry AS industry, Stage AS stage, 1 AS sure FROM said""")
 def i1_score_batch_model(spark, sf_dir):
-    """Responses with a forest trained on the records."""
-    model = G.train_random_forest(model_table(spark, sf_dir), trees=10, depth=6)
+    """Responses with a forest and the fit it was trained with, both saved and loaded again."""
+    folder = shared_folder(spark, "saved")
+    fit, table = fitted_table(spark, sf_dir)
+    io.save_model(G.train_random_forest(table, label="target", trees=30, depth=10), f"{folder}/model")
+    fit.save(spark, f"{folder}/fit")
+    model, fit = io.load_model(f"{folder}/model", spark), FeatureFit.load(spark, f"{folder}/fit")
+    requests = V.requests_from(V.history(spark, sf_dir))
+    scored = I.score_batch(requests, model, fit, accuracy=0.8685)
+    shown = [c for c in I.RESPONSE if not c.startswith("confidence")]
+    return scored.select("request_id", *shown, F.when(F.col("confidence") > 0.5, 1).otherwise(0).alias("sure"))
+
+
+@query("i1_fitted_features", f"""WITH {HISTORY}, {FEATURES}, asked AS (SELECT pred_id AS id, CAST(Funding AS DOUBLE) AS f,
+  CAST(greatest(Rounds, 1) AS DOUBLE) AS r, {CITY_FIXED} AS City, {industry_case()} AS IndustryClean, {stage_case()} AS StageEncoded FROM history),
+folded_city AS (SELECT asked.* REPLACE (CASE WHEN kept IS NULL THEN 'Other' ELSE City END AS City) FROM asked LEFT JOIN frequent ON City = kept),
+limited AS (SELECT *, CASE WHEN f > c THEN c ELSE f END AS m FROM folded_city, cap)
+SELECT id, round(m, 4) AS TotalFunding, r AS FundingRounds, round(m / r, 7) AS FundingPerRound, round(ln(1 + m), 6) AS LogFunding,
+  round(ln(1 + m / r), 6) AS LogFundingPerRound, StageEncoded, coalesce(cc.code, 0) AS CityEncoded, coalesce(ic.code, 0) AS IndustryEncoded,
+  CASE WHEN City IN {in_list(R.MAJOR_CITIES)} THEN 1 ELSE 0 END AS IsMajorCity,
+  CASE WHEN IndustryClean IN {in_list(R.TECH_INDUSTRIES)} THEN 1 ELSE 0 END AS IsTechIndustry, {band_case('m')} AS FundingBand
+FROM limited LEFT JOIN city_codes cc ON City = cc.value LEFT JOIN industry_codes ic ON IndustryClean = ic.value""")
+def i1_fitted_features(spark, sf_dir):
+    """The features of score requests under a fit learned from the records, saved and loaded again."""
+    folder = shared_folder(spark, "saved")
+    fit_features(V.saved_master(spark, sf_dir)).save(spark, folder)
     requests = V.requests_from(V.history(spark, sf_dir))
-    scored = I.score_batch(requests, model, accuracy=0.8685)
-    return scored.select("request_id", *I.RESPONSE)
+    found = FeatureFit.load(spark, folder).transform(I.request_records(requests), ["request_id"], unknown=0)
+    return rounded(found.withColumnRenamed("request_id", "id"))
 
 
-@query("i6_score_basic")
+@query("i6_score_basic", f"""WITH {RECORDS} SELECT id, CASE WHEN coalesce(FundingRounds, 0) >= 3 THEN 'Failed' ELSE 'Safe' END AS prediction FROM records""")
 def i6_score_basic(spark, sf_dir):
-    """The older four-feature model, where code 0 is safe."""
+    """The older four-feature model, where code 0 is safe, on a label that follows from the rounds."""
     records = V.raw_records(spark, sf_dir)
-    closed = F.when(F.col("Status") == "closed", 1).otherwise(0)
+    failed = F.when(F.col("FundingRounds") >= 3, 1).otherwise(0)
     table = durable(build_features_basic(
-        records.withColumn(TARGET, closed), fit_encodings_basic(records), keep=["id", TARGET]))
+        records.withColumn(TARGET, failed), fit_encodings_basic(records), keep=["id", TARGET]))
     model = G.train_random_forest(table, ["TotalFunding", "FundingRounds", "CityEncoded", "IndustryEncoded"],
-                                  TARGET, trees=10, depth=5)
+                                  TARGET, trees=30, depth=10)
     return I.score_basic(table, model)
 
 
@@ -103,10 +134,22 @@ def j1_score_stream(spark, sf_dir):
     return io.read_predictions(spark, f"{folder}/log")
 
 
+@query("j1_score_stream_model", f"""WITH {HISTORY}, {_FITTED_SQL} SELECT pred_id, Funding, City, Industry, Stage, Prediction,
+  {reason_sql('service')} AS Reason FROM said""")
+def j1_score_stream_model(spark, sf_dir):
+    """Requests scored as a stream by a model and its fit."""
+    folder = shared_folder(spark, "score-stream")
+    fit, table = fitted_table(spark, sf_dir)
+    model = G.train_random_forest(table, label="target", trees=30, depth=10)
+    requests = V.requests_from(_log_stream(spark, sf_dir))
+    J.score_stream(requests, f"{folder}/log", f"{folder}/progress", model, fit, once=True).awaitTermination()
+    return io.read_predictions(spark, f"{folder}/log").select("pred_id", "Funding", "City", "Industry", "Stage", "Prediction", "Reason")
+
+
 def _published(spark, live):
     folder = shared_folder(spark, "live")
     J.publish(live, f"{folder}/table", f"{folder}/progress", once=True).awaitTermination()
-    return spark.read.schema(live.schema).parquet(f"{folder}/table")
+    return J.read_published(spark, f"{folder}/table", live.schema)
 
 
 @query("j2_live_kpis", KPI_SQL)

@@ -3,27 +3,44 @@
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordrisk.functions import tables as R
 from recordrisk.schemas import ENCODING, METRIC, PREDICTION_LOG
-from recordrisk.workspace import lookup, small_or_none
+from recordrisk.workspace import lookup
 
 CORRUPT = "_corrupt_record"
 # Quotes are doubled, and white space around a value is part of it.
 CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_records(spark: SparkSession, path: str, schema, format="csv", mode="PERMISSIVE") -> DataFrame:
-    """Records under a declared schema; NaN in double columns is read as missing."""
-    reader = spark.read.schema(schema)
-    if format == "csv":
-        reader = reader.option("header", True).option("mode", mode).option("multiLine", False)
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).options(**CSV)
-    df = reader.format(format).load(path)
+def read_records(spark: SparkSession, path: str, schema, format="csv", mode="PERMISSIVE", corrupt=None,
+                 multiline=False) -> DataFrame:
+    """Records under a declared schema; NaN in double columns is read as missing.
+
+    A line of CSV with bad values or too many or few fields is an error with ``mode="FAILFAST"``. Otherwise its good
+    values are kept, and with ``corrupt`` a column of that name has the whole line, or NULL for good ones; ``corrupt_rows``
+    counts them. With ``multiline`` quoted texts may hold line breaks; a file is then read by one task.
+    """
+    if format != "csv":
+        df = spark.read.schema(schema).format(format).load(path)
+    else:
+        full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = spark.read.schema(full).option("header", True).option("mode", mode).option("multiLine", multiline)
+        df = reader.option("columnNameOfCorruptRecord", CORRUPT).options(**CSV).csv(path)
     doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
     nan = F.lit(float("nan"))
-    return df.select(*[F.nullif(F.col(n), nan).alias(n) if n in doubles else F.col(n) for n in df.columns])
+    kept = [F.nullif(F.col(n), nan).alias(n) if n in doubles else F.col(n) for n in schema.names]
+    if corrupt:
+        kept.append((F.col(CORRUPT) if format == "csv" else F.lit(None).cast("string")).alias(corrupt))
+    return df.select(*kept)
+
+
+def corrupt_rows(spark: SparkSession, path: str, schema) -> int:
+    """How many lines of a CSV table do not fit the schema."""
+    rows = read_records(spark, path, schema, corrupt=CORRUPT)
+    every = F.xxhash64(*schema.names)  # a line is only parsed whole if all its columns are asked for
+    return rows.agg(F.count_if(F.col(CORRUPT).isNotNull()), F.max(every)).first()[0]
 
 
 def write_records(df: DataFrame, path: str, format="parquet", mode="overwrite") -> None:
@@ -65,8 +82,15 @@ def log_rows(df: DataFrame) -> DataFrame:
     return df.select(*typed)
 
 
-def append_predictions(df: DataFrame, path: str) -> None:
-    log_rows(df).write.mode("append").parquet(path)
+def append_predictions(df: DataFrame, path: str, once_by=None) -> None:
+    """Appends to the log; with ``once_by`` (a key column of the log) rows whose key it has already are left out.
+
+    So a job can be repeated.
+    """
+    rows = log_rows(df)
+    if once_by and exists(df.sparkSession, path):
+        rows = rows.join(read_predictions(df.sparkSession, path).select(once_by), once_by, "left_anti").select(*PREDICTION_LOG.names)
+    rows.write.mode("append").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -102,12 +126,26 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_model(path: str):
-    """The saved model, or None if it cannot be read; scoring then falls back to the rule."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:
-        return None
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_model(path: str, spark: SparkSession = None):
+    """The saved model, or None if there is none at the path; scoring then falls back to the rule.
+
+    Any other failure is an error.
+    """
+    return PipelineModel.load(path) if exists(spark or SparkSession.active(), path) else None
+
+
+def save_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A small document as one JSON line."""
+    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
 
 
 def save_metrics(metrics: DataFrame, path: str) -> None:
@@ -118,12 +156,12 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRIC).json(path)
 
 
-def metrics_document(metrics: DataFrame, best_model: str, features) -> str:
-    """The metrics as one nested JSON document (a handful of numbers per model)."""
-    rows = small_or_none(metrics)
-    if rows is None:
-        raise ValueError("too many metrics for one document; use save_metrics")
+def metrics_document(metrics: DataFrame, best_model: str, features) -> dict:
+    """The run as one nested document: best model, features, and the metrics by model.
+
+    Its size is the number of models and run-level numbers.
+    """
     doc = {"best_model": best_model, "features": list(features)}
-    for row in rows:
+    for row in metrics.collect():
         doc.setdefault(row["model"], {})[row["metric"]] = row["value"]
-    return json.dumps(doc, indent=2)
+    return doc

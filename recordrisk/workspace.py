@@ -1,5 +1,6 @@
 """Where jobs put durable intermediate data, and how small results are recognised."""
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -7,48 +8,83 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Largest result that is moved to the driver and sent to every executor.
+# Largest result that is moved to the driver and sent to every executor: rows, and bytes of their texts.
 SMALL_ROWS = 20_000
+SMALL_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder the cluster names.
+    """A fresh folder below the shared folder the cluster names, or below that of the enclosing ``scratch``.
 
     Only a local session may fall back to a temporary folder of the machine.
     """
+    base = _SCRATCH[-1] if _SCRATCH else _shared_base(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_base(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="recordrisk-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+_SCRATCH: list[str] = []
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Owner of the durable tables made inside: they are removed at its end, also after an error.
 
-def durable(df: DataFrame) -> DataFrame:
+    What is returned from it must not depend on them: write it elsewhere, or take values.
+    """
+    folder = f"{_shared_base(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def durable(df: DataFrame, folder: str = None) -> DataFrame:
     """The rows written once as a table in the shared folder, and read from there.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and values that
     depend on row placement (partition numbers) stay what they were. Later passes read only
-    the columns they need, and Catalyst knows the size.
+    the columns they need, and Catalyst knows the size. The table stays until the enclosing ``scratch`` ends; ``folder``
+    puts it elsewhere.
     """
-    path = shared_folder(df.sparkSession, "table")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}" if folder else shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS):
-    """The rows as a local list if there are at most ``max_rows``, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def small_or_none(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES):
+    """The rows as a local list if they are few and short enough, else None.
+
+    Both bounds hold before anything is collected: the sizes of at most ``max_rows + 1`` rows are summed up first.
+    """
+    sizes = [F.octet_length(F.col(f"`{n}`").cast("string")) if t == "string" else F.lit(16) for n, t in df.dtypes]
+    n, size = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.sum(sum((F.coalesce(c, F.lit(0)).cast("long") for c in sizes), F.lit(0)))).first()
+    return df.collect() if n <= max_rows and (size or 0) <= max_bytes else None
 
 
-def lookup(df: DataFrame, table: DataFrame, on, how="left", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join a lookup table, broadcasting it only if its counted size allows.
+def lookup(df: DataFrame, table: DataFrame, on, how="left", max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Join a lookup table, broadcasting it only if its counted rows and bytes allow.
 
     A larger table is joined by shuffle; adaptive execution splits hot keys there.
     """
-    rows = small_or_none(table, max_rows)
+    rows = small_or_none(table, max_rows, max_bytes)
     if rows is None:
         return df.join(table, on, how)
     local = df.sparkSession.createDataFrame(rows, table.schema)

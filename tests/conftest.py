@@ -8,6 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from recordrisk.workspace import ship_package  # noqa: E402
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -22,6 +24,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recordrisk-test-"))
+    ship_package(session)
     yield session
     session.stop()
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from recordrisk.functions import tables as R
@@ -114,3 +115,44 @@ def test_log_upgrade(spark):
     assert (row["City"], row["Industry"], row["Stage"], row["Confidence"]) == ("6", "3", None, None)
     row = io.upgrade_log_v1(old, io.encoding_table(spark, io.DASHBOARD_CODES)).first()
     assert (row["City"], row["Industry"]) == ("Bangalore", "E-Commerce")
+
+
+def test_codes_listed_twice_are_the_same_by_every_path(spark):
+    values = [f"v{i}" for i in range(30)] + [None, "new"]
+    df = by_id(spark, values)
+    table = io.encoding_table(spark, {"v": {f"v{i}": i for i in range(30)}})
+    table = table.unionByName(spark.createDataFrame([("v", "v3", 99), ("v", "v4", -1), ("w", "v5", -7)], table.schema))
+    got = [column(E.apply_encoding(df, "v", table, 50, case_values=c, small_rows=s), "vEncoded") for c, s in ((64, 100), (10, 100), (10, 5))]
+    want = list(range(30)) + [50, 50]
+    want[4] = -1
+    assert got == [want] * 3
+
+
+def test_long_texts_are_no_small_lookup(spark):
+    from recordrisk.workspace import small_or_none
+
+    df = by_id(spark, ["x" * 1000] * 20)
+    assert small_or_none(df, 20, 30_000) is not None
+    assert small_or_none(df, 20, 10_000) is None and small_or_none(df, 19, 30_000) is None
+    long = by_id(spark, [f"{i} " + "x" * 1000 for i in range(20)])
+    assert len(E.fold_rare(long, "v", 20).where("v <> 'Other'").collect()) == 20
+    assert sorted(column(E.apply_ordinal(long, "v", E.fit_ordinal(long, "v")), "vEncoded")) == list(range(20))
+
+
+def test_bad_lines_are_kept_and_counted(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,name,amount\n1,a,2.5\nx,b,3\n3,c,4,extra\n4\n5,e,NaN\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("amount", T.DoubleType())])
+    rows = io.read_records(spark, str(tmp_path), schema, corrupt="bad").orderBy("name").collect()
+    assert {r["bad"] for r in rows} == {None, "x,b,3", "3,c,4,extra", "4"}
+    assert io.corrupt_rows(spark, str(tmp_path), schema) == 3
+    assert io.read_records(spark, str(tmp_path), schema).columns == ["id", "name", "amount"]
+    assert [r["amount"] for r in rows if r["id"] == 5] == [None]
+    with pytest.raises(Exception):
+        io.read_records(spark, str(tmp_path), schema, mode="FAILFAST").collect()
+
+
+def test_line_breaks_survive(spark):
+    df = spark.createDataFrame([(1, 'two\nlines, "quoted"'), (2, "one")], "id long, t string")
+    path = shared_folder(spark, "csv")
+    io.export_log(df, path)
+    assert io.read_records(spark, path, df.schema, multiline=True).orderBy("id").collect() == df.collect()

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from recordrisk.functions import columns as C, tables as R
-from recordrisk.functions.narrative import advice_text, reason_text
+from recordrisk.functions.narrative import advice_text, reason_text, with_amounts
 from tests.conftest import by_id, column
 
 
@@ -100,7 +100,7 @@ def _texts(spark, rows, style="service"):
     df = spark.createDataFrame(
         [(i, *r) for i, r in enumerate(rows)],
         "id long, p string, f double, r int, city string, ind string, stage string")
-    df = df.select("id", reason_text("p", "f", "r", "city", "ind", "stage", style).alias("reason"),
+    df = with_amounts(df, "f").select("id", reason_text("p", "f", "r", "city", "ind", "stage", style).alias("reason"),
                    advice_text("p", "f", "r", "city", style).alias("advice"))
     return column(df, "reason"), column(df, "advice")
 

@@ -69,3 +69,16 @@ def test_feature_plan_has_no_python(spark, data):
     table = D.fit_features(master).transform(master, ["id"])
     plan = table.select(F.sum("FundingBand"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.99, 1.0])
+def test_quantile_is_one_formula_at_every_size(spark, q):
+    import random
+
+    rng = random.Random(3)
+    values = [rng.choice([5.0, 5.0, rng.gauss(0, 1e6), rng.random()]) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered, at = sorted(values), q * 3999
+    low, high = ordered[int(at)], ordered[min(int(at) + 1, 3999)]
+    want = low + (high - low) * (at - int(at))
+    assert {D.quantile_value(df, "v", q, ranked_rows=n) for n in (10_000, 300, 7)} == {want}

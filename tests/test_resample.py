@@ -159,4 +159,30 @@ def test_smote_scaled_and_with_missing(spark, people):
     made = S.smote(holes, "k", "y", ["x", "z"], scale=True)
     assert made.where("z IS NULL OR isnan(z)").count() == 0
     lone = spark.createDataFrame([(1, "a", 0.0), (2, "a", 1.0), (3, "b", 5.0)], "k long, y string, x double")
-    assert S.smote(lone, "k", "y", ["x"]).count() == 3  # one row has no neighbour to mix with
+    with pytest.raises(ValueError, match="class"):  # one row has no neighbour to mix with
+        S.smote(lone, "k", "y", ["x"], shrink_k=True)
+
+
+def test_smote_of_small_classes_is_a_choice(spark):
+    rows = [(i, 0, float(i)) for i in range(12)] + [(100 + i, 1, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k long, y int, x double")
+    with pytest.raises(ValueError, match="class 1 has 3 rows"):
+        S.smote(df, "k", "y", ["x"])
+    made = S.smote(df, "k", "y", ["x"], shrink_k=True)
+    assert [r["count"] for r in made.groupBy("y").count().collect()] == [12, 12]
+
+
+def test_split_with_repeated_and_missing_keys(spark):
+    hot = [(7, 1)] * 50 + [(100 + i, 1) for i in range(50)]
+    df = spark.createDataFrame(hot, "k long, y int")
+    sizes = set()
+    for seed in range(12):
+        try:
+            got = S.stratified_split(df, "k", "y", 60, seed)
+            assert got.where("is_test = 1").count() == 60
+            sizes.add(got.where("k = 7").select("is_test").distinct().count())
+        except ValueError as e:
+            assert "repeated" in str(e)
+    assert sizes <= {1}
+    one = spark.createDataFrame([(None, 1), (2, 1)], "k long, y int")
+    assert {S.stratified_split(one, "k", "y", 50, seed).where("is_test = 1").first()["k"] for seed in range(8)} == {None, 2}

@@ -36,12 +36,12 @@ def test_live_numbers_equal_the_table(spark, data):
     folder = shared_folder(spark, "live")
     kpis = J.live_kpis(stream)
     J.publish(kpis, f"{folder}/kpis", f"{folder}/a", once=True).awaitTermination()
-    got, want = spark.read.parquet(f"{folder}/kpis").first(), P.log_kpis(log).first()
+    got, want = J.read_published(spark, f"{folder}/kpis", kpis.schema).first(), P.log_kpis(log).first()
     for name in ("total", "safe", "failed", "survival_rate", "avg_confidence_text"):
         assert got[name] == want[name]
     counts = J.live_outcome_counts(stream, "City")
     J.publish(counts, f"{folder}/counts", f"{folder}/b", once=True).awaitTermination()
-    assert sorted_rows(spark.read.parquet(f"{folder}/counts").select("City", "Failed", "Safe")) == sorted_rows(
+    assert sorted_rows(J.read_published(spark, f"{folder}/counts", counts.schema).select("City", "Failed", "Safe")) == sorted_rows(
         P.crosstab(log, "City", "Prediction", P.OUTCOMES).select("City", "Failed", "Safe"))
 
 
@@ -51,3 +51,27 @@ def test_appended_log_rounds_confidence(spark):
     io.append_predictions(row, path)
     io.append_predictions(row.withColumn("pred_id", F.lit(2).cast("long")), path)
     assert [r["Confidence"] for r in io.read_predictions(spark, path).collect()] == [0.1235, 0.1235]
+
+
+def test_published_tables_are_whole_and_repeatable(spark):
+    path = shared_folder(spark, "published")
+    assert J.read_published(spark, path, "n int").collect() == []
+    arriving = shared_folder(spark, "arriving")
+    for keys in (["a"], ["a", "b"], ["b"], ["c"]):
+        spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).write.mode("append").parquet(arriving)
+        live = J.read_stream(spark, arriving, "k string", files_per_trigger=1).groupBy("k").count()
+        J.publish(live, path, f"{path}-progress", once=True).awaitTermination()
+    assert sorted_rows(J.read_published(spark, path, live.schema)) == [("a", 2), ("b", 2), ("c", 1)]
+    # a batch that was written but not marked is not read
+    spark.createDataFrame([("z", 9)], live.schema).write.parquet(f"{path}/batch=99")
+    assert ("z", 9) not in sorted_rows(J.read_published(spark, path, live.schema))
+    kept = [s.getPath().getName() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done"))]
+    assert len(kept) == 2
+
+
+def test_appending_a_job_again_adds_nothing(spark):
+    path = shared_folder(spark, "log")
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.5)], "pred_id long, Confidence double")
+    for _ in range(2):
+        io.append_predictions(rows, path, once_by="pred_id")
+    assert io.read_predictions(spark, path).count() == 2
