@@ -1,0 +1,118 @@
+"""The operators again, plainly, for small inputs. Rows are (doc_id, text) with text never None."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LAST = 2**63 - 1
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def groups(rows, largest=True):
+    ids = defaultdict(list)
+    for d, t in rows:
+        ids[t].append(d)
+    out = []
+    for d, t in rows:
+        known = [x for x in ids[t] if x is not None]
+        keep = (max if largest else min)(known) if known else None
+        out.append((d, keep, len(ids[t]), d == keep, sha(t)))
+    return out
+
+
+def shingles(text):
+    w = WORD.findall(text)
+    if len(w) < 5:
+        return Counter([tuple(w)] if w else [])
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def jaccard(a, b):
+    both = sum((a & b).values())
+    whole = sum(a.values()) + sum(b.values()) - both
+    return both / whole if whole else 1.0
+
+
+def near_classes(rows, threshold=0.8):
+    """Class of each id, all pairs compared; every id has one text here."""
+    texts = dict(rows)
+    sets = {d: shingles(t) for d, t in texts.items()}
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for i, d in enumerate(ids):
+        for e in ids[:i]:
+            if find(d) != find(e) and jaccard(sets[d], sets[e]) >= threshold - 1e-9:
+                a, b = find(d), find(e)
+                parent[max(a, b)] = min(a, b)
+    return {d: find(d) for d in ids}
+
+
+def without_bytes(rows, least):
+    bodies = [t.encode() for _, t in rows]
+    count = Counter(b[i : i + least] for b in bodies for i in range(len(b) - least + 1))
+    out = []
+    for (d, _), b in zip(rows, bodies):
+        gone = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            if count[b[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
+        out.append((d, len(b), sum(gone), spans, sha(left)))
+    return out
+
+
+def without_words(rows, window):
+    order = lambda d: LAST if d is None else d
+    parts = [(d, WORD.findall(t)) for d, t in rows]
+    first = {}
+    for d, w in parts:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, LAST), order(d))
+    out = []
+    for d, w in parts:
+        gone = bytearray(len(w))
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < order(d):
+                gone[i : i + window] = b"\1" * window
+        out.append((d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
+    return out
+
+
+def remainder(d, n):
+    return zlib.crc32(("" if d is None else str(d)).encode()) % n
+
+
+def base_scores(rows):
+    low = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+    tokens = [(d, [*WORD.findall(low(t)), None]) for d, t in rows]
+    count = Counter()
+    for d, w in tokens:
+        if remainder(d, 7) != 2:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    return [(d, remainder(d, 7) == 2, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for d, w in tokens]
+
+
+def edits(item, text):
+    """Fewest edits that turn the item into some part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (c != t), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
