@@ -25,6 +25,7 @@ BUCKETS = 24
 BINS = 4  # of a doubling of the ratio of two estimates
 NEVER = -9999  # bin of a ratio to an estimate of zero
 _END = np.uint64(0x5851F42D4C957F2D)
+_PAIR = np.uint64(1 << 63)  # the bit of a key that tells pairs from single tokens
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,9 +60,8 @@ def read_chunk(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Chun
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[:1] = _END
-    one = np.uint64(1)
-    singles, single = np.unique(mix(hashes) & ~one, return_inverse=True)
-    pairs, pair = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(hashes)) | one, return_inverse=True)
+    singles, single = np.unique(mix(hashes) & ~_PAIR, return_inverse=True)
+    pairs, pair = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(hashes)) | _PAIR, return_inverse=True)
     pair = pair + len(singles)
     kind = kinds[doc]
     total = len(singles) + len(pairs)
@@ -116,21 +116,47 @@ def _open(row: dict) -> tuple[Chunk, np.ndarray]:
 
 def _parts(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys by the part that owns them, and where each part begins."""
-    owner = ((keys >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    owner = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     return order, np.searchsorted(owner[order], np.arange(n + 1))
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of each key. A part owns keys by the lower ones, so within it few keys can coincide at any size."""
+    return (keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked_keys(body: bytes) -> np.ndarray:
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Counts by bytes of equal weight, compressed: nearly all are small."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(counts.astype("<u8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked_counts(body: bytes) -> np.ndarray:
+    """Two rows of counts: of the training part and of the deleted part."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8").astype(np.int64).reshape(2, -1)
+
+
 def _ask(n_parts: int):
     def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk, _ = _open(row)
                 order, begin = _parts(chunk.keys, n_parts)
-                keys, counts = chunk.keys[order], chunk.counts[:, order].astype(np.uint32)
+                keys, counts = chunk.keys[order], chunk.counts[:, order]
                 some = np.flatnonzero(np.diff(begin))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(np.full(len(some), row["chunk"])), pa.array([keys[begin[p] : begin[p + 1]].tobytes() for p in some], pa.binary()), pa.array([counts[:, begin[p] : begin[p + 1]].tobytes() for p in some], pa.binary())],
+                    [pa.array(some), pa.array(np.full(len(some), row["chunk"])), pa.array([_packed_keys(keys[begin[p] : begin[p + 1]]) for p in some], pa.binary()), pa.array([_packed_counts(counts[:, begin[p] : begin[p + 1]]) for p in some], pa.binary())],
                     ["part", "chunk", "keys", "counts"])
 
     return work
@@ -138,15 +164,14 @@ def _ask(n_parts: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Total counts of the keys of one part, for each chunk the ones it asked for; and totals of the part (chunk null)."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    keys = [_unpacked_keys(k) for k in table.column("keys").to_pylist()]
     sizes = [len(k) for k in keys]
     found, back = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, np.uint32).reshape(2, -1) for c in table.column("counts").to_pylist()], axis=1)
+    counts = np.concatenate([_unpacked_counts(c) for c in table.column("counts").to_pylist()], axis=1)
     total = np.stack([np.bincount(back, counts[k], len(found)) for k in range(2)]).astype(np.int64)
-    wide = total.astype(np.uint32) if total.max(initial=0) < 1 << 32 else total.astype(np.uint64)
     at = np.cumsum([0, *sizes])
-    answers = [wide[:, back[a:b]].tobytes() for a, b in zip(at[:-1], at[1:])]
-    single = (found & np.uint64(1)) == 0
+    answers = [_packed_counts(total[:, back[a:b]]) for a, b in zip(at[:-1], at[1:])]
+    single = (found >> np.uint64(47)) == 0
     train, both = total[0, single], total[:, single].sum(axis=0)
     part = table.column("part")[0].as_py()
     n = len(answers)
@@ -165,8 +190,7 @@ def _answered(chunk: Chunk, rows: pa.Table, n_parts: int) -> np.ndarray:
     out = np.zeros((2, len(chunk.keys)), np.int64)
     for part, body in zip(rows.column("part").to_pylist(), rows.column("counts").to_pylist()):
         a, b = begin[part], begin[part + 1]
-        kind = np.uint32 if len(body) == 8 * (b - a) else np.uint64
-        out[:, order[a:b]] = np.frombuffer(body, kind).reshape(2, -1)
+        out[:, order[a:b]] = _unpacked_counts(body)
     return out
 
 
