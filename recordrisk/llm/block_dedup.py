@@ -76,7 +76,7 @@ def _find(window: int):
 
 def _hot(hashed: DataFrame) -> DataFrame:
     firsts = hashed.groupBy("h1", "h2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").drop("most")
-    return salted_join(hashed, firsts, ["h1", "h2"], "start").where("least < rank")
+    return salted_join(hashed, firsts, ["h1", "h2"], "start", salts=8).where("least < rank")
 
 
 def _strip(window: int, with_text: bool):

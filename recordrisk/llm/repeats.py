@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from recordrisk.llm.shared import _HASHES, gram_hashes, mix, pieces_for, raw, salted_join, slices, sliding_min, texts, word_hashes, words
 from recordrisk.workspace import durable
 
-HOT_PLACES = 400
-BUCKET_BYTES = 1 << 20
+# A bucket's segments fit a task many times over; an anchor whose own segments would outgrow a bucket is hot.
+BUCKET_BYTES = 1 << 19
+HOT_PLACES = 5000
 
 
 class Units:

@@ -34,7 +34,7 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
         ahead[: n - step] = ranks[step:] + 1 if n > step else 0
         ranks = np.unique(ranks * (n + 1) + ahead, return_inverse=True)[1]
         size += step
-    return np.argsort(ranks, kind="stable"), first
+    return np.argsort(ranks, kind="stable").astype(np.int32), first
 
 
 def long_prefixes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +46,8 @@ def long_prefixes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     order, first = sorted_suffixes(symbols, least)
     transform = symbols[order - 1]  # the symbol in front; the one before the first suffix is the last, a 0
     # the place of the suffix one symbol longer: stable sort of the transform
-    longer = np.empty(n, np.int64)
-    longer[np.argsort(transform, kind="stable")] = np.arange(n)
+    longer = np.empty(n, np.int32)
+    longer[np.argsort(transform.astype(np.int16), kind="stable")] = np.arange(n, dtype=np.int32)
     closed = np.zeros(n + 1, bool)
     closed[0] = closed[n] = True
     ranked = first[order]
@@ -82,10 +82,10 @@ def duplicated_starts(segments: list[bytes], least: int) -> list[np.ndarray]:
     often = np.bincount(of, minlength=len(distinct)) > 1
     body = list(distinct)
     sizes = np.array([len(s) + 1 for s in body], np.int64)
-    symbols = np.zeros(int(sizes.sum()), np.int64)
+    symbols = np.zeros(int(sizes.sum()), np.int16)
     at = np.cumsum(sizes) - sizes
     for s, a in zip(body, at.tolist()):
-        symbols[a : a + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
+        symbols[a : a + len(s)] = np.frombuffer(s, np.uint8).astype(np.int16) + 1
     marked = np.zeros(len(symbols), bool)
     if len(body) > 1 or any(len(s) > least for s in body):
         order, same = long_prefixes(symbols, least)
@@ -116,7 +116,7 @@ def _find(least: int):
 
 def _hot(hashed: DataFrame) -> DataFrame:
     twice = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return salted_join(hashed, twice, ["h1", "h2"], "start")
+    return salted_join(hashed, twice, ["h1", "h2"], "start", salts=8)
 
 
 def _strip(least: int, with_text: bool):
