@@ -7,7 +7,7 @@ two signatures agree at a place with the probability of the weighted Jaccard sim
 and only until every place of a document is filled.
 
 Documents whose signatures agree in a whole band are candidates. Each band's bucket compares its members with its least
-one; those who remain in another component are compared with all members, in blocks. Candidates whose signatures agree
+one; those who remain in another component are compared with the others, in blocks. Candidates whose signatures agree
 enough are verified by the overlap of their multisets, and linked documents form classes.
 """
 
@@ -128,7 +128,7 @@ def _digest(x: np.ndarray) -> bytes:
 
 
 def _sets(batches):
-    """A row a document: its shingle occurrences as a set of 64-bit keys, sorted."""
+    """A row a document: its shingle occurrences as a set of 64-bit keys, sorted, and their upper halves."""
     for batch in batches:
         for first, end, data, offsets in slices(*raw(batch.column("text"))):
             hashes, begins = multisets(data, offsets)
@@ -137,23 +137,27 @@ def _sets(batches):
             wanted = batch.column("wanted").slice(first, end - first).to_pylist()
             mine = [i for i, (a, b) in enumerate(span) if _digest(hashes[a:b]) == wanted[i]]
             body = [np.sort(keys[span[i][0] : span[i][1]]).tobytes() for i in mine]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, end - first).take(pa.array(mine, pa.int64())), pa.array(body, pa.binary())], ["node", "keys"])
+            short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in body]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(first, end - first).take(pa.array(mine, pa.int64())), pa.array(body, pa.binary()), pa.array(short, pa.binary())], ["node", "keys", "short"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets reach the Jaccard threshold."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
 def _overlap(threshold: float):
     def work(batches):
         for batch in batches:
-            left, right, keep = batch.column("left"), batch.column("right"), []
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64)
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-                    continue
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-                if both >= threshold * (len(a) + len(b) - both) - 1e-9:
-                    keep.append(i)
+            left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+            keep = [i for i, (a, b) in enumerate(zip(left, right)) if _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold)]
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     return work
@@ -166,29 +170,55 @@ def _agreeing(batches):
         yield batch.select(["u", "v"]).take(pa.array(keep))
 
 
-def _cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of one block: the rows asked for against the block's rows, of other components, if signatures agree enough.
+def _cross(threshold: float):
+    """Links of one block: the rows asked for against the block's rows of other components.
 
-    A pair that shares several bands is made in the first of them only.
+    Signatures that agree enough are followed by a comparison of the 32-bit halves of the sets, which those of every linked pair
+    pass. A row needs one link to each other component, so what leaves the task grows with components, not with pairs.
     """
-    band = key[0].as_py()
-    asked = np.asarray(table.column("asked"))
-    node, group = np.asarray(table.column("node")), np.asarray(table.column("component"))
-    sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, PLACES)
-    home, ask = np.flatnonzero(~asked), np.flatnonzero(asked)
-    us, vs = [], []
-    for i in ask:
-        other = home[(group[home] != group[i])]
-        if not len(other):
-            continue
-        same = sign[other] == sign[i]
-        near = same.mean(axis=1) >= AGREE
-        earlier = same[near][:, : band * DEPTH].reshape(near.sum(), band, DEPTH).all(axis=2).any(axis=1) if band else np.zeros(near.sum(), bool)
-        hit = node[other[near][~earlier]]
-        us.append(np.full(len(hit), node[i]))
-        vs.append(hit)
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"u": pa.array(np.concatenate(us or none), pa.int64()), "v": pa.array(np.concatenate(vs or none), pa.int64())})
+    def work(key, table):
+        asked = np.asarray(table.column("asked"))
+        node, group = np.asarray(table.column("node")), np.asarray(table.column("component"))
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, PLACES)
+        short = table.column("short").to_pylist()
+        home, us, vs = np.flatnonzero(~asked), [], []
+        for i in np.flatnonzero(asked):
+            other = home[group[home] != group[i]]
+            share = (sign[other] == sign[i]).mean(axis=1)
+            near = np.flatnonzero(share >= AGREE)
+            own, linked = np.frombuffer(short[i], np.uint32), set()
+            for j in other[near[np.argsort(-share[near], kind="stable")]].tolist():  # the most alike first
+                if group[j] not in linked and _alike(own, np.frombuffer(short[j], np.uint32), threshold):
+                    linked.add(group[j])
+                    us.append(node[i])
+                    vs.append(node[j])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    work.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
+    return work
+
+
+def _crossing(banded: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (u > v) between components that share a bucket.
+
+    Everyone outside a bucket's largest component is compared with all of the bucket. Both sides are dealt into blocks, so
+    a task holds two blocks however many members a bucket has.
+    """
+    located = banded.join(found, "node", "left").select("node", "band", "bucket", F.coalesce("component", "node").alias("component"))
+    sizes = located.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band", "bucket").agg(
+        F.sum("n").alias("members"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.count(F.lit(1)).alias("kinds")
+    ).where("kinds > 1").select("band", "bucket", "top.main", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("home_blocks"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK_ROWS).cast("long").alias("ask_blocks"))
+    split = durable(salted_join(located, mixed, ["band", "bucket"], "node"))
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    home = split.select("band", "bucket", F.pmod(F.xxhash64("node"), F.col("home_blocks")).alias("home"), numbers("ask_blocks").alias("ask"), "node", "component", F.lit(False).alias("asked"))
+    ask = split.where("component <> main").select("band", "bucket", numbers("home_blocks").alias("home"), F.pmod(F.xxhash64("node"), F.col("ask_blocks")).alias("ask"), "node", "component", F.lit(True).alias("asked"))
+    rows = home.unionAll(ask).join(nodes.select("node", "sign"), "node").join(sets.select("node", "short"), "node")
+    pairs = rows.groupBy("band", "bucket", "home", "ask").applyInArrow(_cross(threshold), "u long, v long")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _with(rows: DataFrame, table: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -196,11 +226,8 @@ def _with(rows: DataFrame, table: DataFrame, key: str, value: str, name: str) ->
     return rows.join(table.select(F.col("node").alias(key), F.col(value).alias(name)), key)
 
 
-def _verified(base: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (u, v) those whose multisets overlap enough. Only texts of documents in a pair are read again."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-    rows = base.join(asked, base["doc_id"] == asked["node"]).select("node", "text", F.col("digest").alias("wanted"))
-    sets = durable(rows.mapInArrow(_sets, "node long, keys binary"))
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (u, v) those whose multisets overlap enough."""
     both = _with(_with(pairs, sets, "u", "keys", "left"), sets, "v", "keys", "right")
     return durable(both.mapInArrow(_overlap(threshold), "u long, v long"))
 
@@ -229,28 +256,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     banded = durable(salted_join(banded, leaders.select("band", "bucket", "leader"), ["band", "bucket"], "node"))
     stars = banded.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = durable(_with(_with(stars, nodes, "u", "sign", "left"), nodes, "v", "sign", "right").mapInArrow(_agreeing, "u long, v long"))
-    links = _verified(base, nodes, pairs, threshold)
-    found = components(links)
-
-    # buckets that still hold several components: everyone outside the bucket's main one against all of the bucket
-    located = banded.join(found, "node", "left").select("node", "band", "bucket", F.coalesce("component", "node").alias("component"))
-    sizes = located.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band", "bucket").agg(
-        F.sum("n").alias("members"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.count(F.lit(1)).alias("kinds")
-    ).where("kinds > 1").select("band", "bucket", "top.main", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("home_blocks"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK_ROWS).cast("long").alias("ask_blocks"))
-    split = durable(salted_join(located, mixed, ["band", "bucket"], "node"))
-
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    home = split.select("band", "bucket", F.pmod(F.xxhash64("node"), F.col("home_blocks")).alias("home"), numbers("ask_blocks").alias("ask"), "node", "component", F.lit(False).alias("asked"))
-    ask = split.where("component <> main").select("band", "bucket", numbers("home_blocks").alias("home"), F.pmod(F.xxhash64("node"), F.col("ask_blocks")).alias("ask"), "node", "component", F.lit(True).alias("asked"))
-    crossing = home.unionAll(ask).join(nodes.select("node", "sign"), "node").groupBy("band", "bucket", "home", "ask").applyInArrow(_cross, "u long, v long")
-    rest = crossing.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tested = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = _verified(base, nodes, durable(rest.join(tested, ["u", "v"], "left_anti")), threshold)
-    found = components(links.unionAll(more))
-
+    # the multisets of documents that share a bucket with another; only their texts are read again
+    holders = banded.select("node").distinct().join(nodes.select("node", F.col("digest").alias("wanted")), "node")
+    sets = durable(base.join(holders, base["doc_id"] == holders["node"]).select("node", "text", "wanted").mapInArrow(_sets, "node long, keys binary, short binary"))
+    links = _verified(sets, pairs, threshold)
+    # those outside a bucket's main component against all of the bucket
+    rest = durable(_crossing(banded, nodes, sets, components(links), threshold))
+    found = components(links.unionAll(_verified(sets, rest, threshold)))
     classes = member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     classes = durable(classes)
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
