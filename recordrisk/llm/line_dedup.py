@@ -1,9 +1,11 @@
 """Removal of lines that an earlier document has in the same order, by pairwise alignment.
 
-Documents overlap if they share a line. A rare line links all its holders; a frequent one links each holder with the
-first, so links grow with the lines and not with the square of a group. Every linked pair is aligned by patience diff on
-line hashes: lines that are unique in both are matched along the longest common order, and matches grow over the lines
-around them. Aligned common blocks go from the later document.
+Documents overlap if they share a line, or, where every earlier holder counts, a shortest run of lines that has enough
+characters to go: no block that goes is without one around each of its lines. A rare one links all its holders; a frequent
+one links each holder with the first, so links grow with the lines and not with the square of a group. Every linked pair is
+aligned by patience diff on line hashes: lines that are unique in both are matched along the longest common order, and
+matches grow over the lines around them. Aligned common blocks go from the later document. Holders whose frequent run is
+left are then tried with its other earlier holders, in blocks, until its lines are gone or no holder is left.
 """
 
 import bisect
@@ -14,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recordrisk.llm.repeats import keyed
-from recordrisk.llm.shared import raw, salted_join
+from recordrisk.llm.shared import _HASHES, mix, raw, salted_join
 from recordrisk.workspace import durable
 
 RARE = 6  # holders of a line that are all linked with each other
+BLOCK_ROWS = 512
+_OTHER = 2  # stands for lines that the later document lacks; hashes of lines are odd or 0
 
 
 def line_hash(line: bytes) -> int:
@@ -89,24 +93,171 @@ def _longest(pairs):
     return out[::-1]
 
 
-def _lines(batches):
-    for batch in batches:
-        data, offsets = raw(batch.column("text"))
-        body = data.tobytes()
-        rows = [np.array([line_hash(x) for x in body[a:b].split(b"\n")], np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rank"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([np.unique(r[r != 0]) for r in rows], pa.list_(pa.int64()))], ["key", "rank", "lines", "distinct"])
+def _runs(lines: np.ndarray, chars: np.ndarray, begins: np.ndarray, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, end and hash of the shortest runs of lines with ``least_chars`` characters around each line.
 
+    A run around a line is shortest if it can't lose its first or last line without losing the characters or that line. Runs end
+    at document borders. So every common block with enough characters has, around each of its lines, a run that both texts have.
+    """
+    n = len(lines)
+    weight, need = (chars, least_chars) if least_chars > 0 else ((lines != 0).astype(np.int64), 1)
+    lo, hi = (np.repeat(x, np.diff(begins)) for x in (begins[:-1], begins[1:]))
+    total = np.concatenate(([0], np.cumsum(weight)))
+    ahead = np.maximum.accumulate(np.where(weight > 0, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    before = np.concatenate(([-1], ahead[:-1]))  # the last line with characters before each
+    at, start, last, spans = np.arange(n), np.arange(n), np.full(n, n + 2), []
+    while len(at):
+        end = np.maximum(np.searchsorted(total, total[start] + need), at + 1)
+        shortest = (end < last) & (end <= hi[at])
+        spans.append(start[shortest] * (n + 2) + end[shortest])
+        left = before[start]
+        on = (end > at + 1) & (left >= lo[at])
+        at, start, last = at[on], left[on], end[on]
+    span = np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
+    first, end = span // (n + 2), span % (n + 2)
+    hashes = _HASHES[0]
+    hashes.reach(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(lines.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * hashes.powers[:n], out=sums[1:])
+    return first, end, mix((sums[end] - sums[first]) * hashes.inverses[first] ^ (end - first).astype(np.uint64)).view(np.int64)
+
+
+def _lines(least_chars: int, every: bool):
+    def work(batches):
+        for batch in batches:
+            data, offsets = raw(batch.column("text"))
+            body = data.tobytes()
+            split = [body[a:b].split(b"\n") for a, b in zip(offsets[:-1], offsets[1:])]
+            rows = [np.array([line_hash(x) for x in ls], np.int64) for ls in split]
+            chars = [np.array([len(x.decode(errors="replace").strip()) for x in ls], np.int64) for ls in split]
+            if every and rows:
+                begins = np.cumsum([0, *map(len, rows)])
+                first, _, run = _runs(np.concatenate(rows), np.concatenate(chars), begins, least_chars)
+                cut = np.searchsorted(first, begins)
+                distinct = [np.unique(run[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+            else:
+                distinct = [np.unique(r[r != 0]) for r in rows]
+            both = [pa.array([x.tobytes() for x in r], pa.binary()) for r in (rows, chars)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rank"), *both, pa.array(distinct, pa.list_(pa.int64()))], ["key", "rank", "lines", "chars", "distinct"])
+
+    return work
+
+
+def _long_blocks(a: list[int], b: list[int], chars: np.ndarray, least_chars: int) -> list[tuple[int, int]]:
+    return [(j, j + n) for _, j, n in patience(a, b) if chars[j : j + n].sum() >= least_chars]
+
+
+def _marks(rows: list[tuple[int, int, int]]) -> dict:
+    key, first, end = zip(*rows) if rows else ((),) * 3
+    return {"key": pa.array(key, pa.int64()), "first": pa.array(first, pa.int64()), "end": pa.array(end, pa.int64())}
+
+
+def _align(least_chars: int):
+    def work(batches):
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("v", "early", "late", "chars"))
+            for k, a, b, c in zip(*columns):
+                a, b = (np.frombuffer(x, np.int64).tolist() for x in (a, b))
+                out.extend((k, *m) for m in _long_blocks(a, b, np.frombuffer(c, np.int64), least_chars))
+            yield pa.RecordBatch.from_pydict(_marks(out))
+
+    return work
+
+
+def _left(least_chars: int):
+    """Frequent runs of a document of which a line is left, and the places of such lines."""
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for key, rank, lines, chars, many, marks in zip(*(batch.column(c).to_pylist() for c in ("key", "rank", "lines", "chars", "many", "marks"))):
+                lines, chars = np.frombuffer(lines, np.int64), np.frombuffer(chars, np.int64)
+                here = np.ones(len(lines), bool)
+                for m in marks or []:
+                    here[m["first"] : m["end"]] = False
+                if not here.any():
+                    continue
+                first, end, run = _runs(lines, chars, np.array([0, len(lines)]), least_chars)
+                count = np.concatenate(([0], np.cumsum(here)))
+                places: dict[int, set[int]] = {}
+                for i in np.flatnonzero((count[end] > count[first]) & np.isin(run, np.array(many, np.int64))).tolist():
+                    places.setdefault(int(run[i]), set()).update((first[i] + np.flatnonzero(here[first[i] : end[i]])).tolist())
+                out.extend((key, rank, line, sorted(x)) for line, x in places.items())
+            key, rank, line, places = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rank, pa.int64()), pa.array(line, pa.int64()), pa.array(places, pa.list_(pa.int64()))], ["key", "rank", "line", "places"])
+
+    return work
+
+
+def _try(least_chars: int):
+    """Marks of one block: rows asked for, aligned with the block's earlier rows until their places are marked.
+
+    Lines of the earlier row that the later one lacks are the same to the alignment, a run of them as one, so rows that differ in
+    nothing else are aligned once.
+    """
+
+    def work(key, table):
+        asked = np.asarray(table.column("asked"))
+        keys, ranks, lines, chars, places = (table.column(c).to_pylist() for c in ("key", "rank", "lines", "chars", "places"))
+        home = sorted(np.flatnonzero(~asked).tolist(), key=lambda i: (ranks[i], keys[i]))
+        order = [(ranks[i], keys[i]) for i in home]
+        flat = np.frombuffer(b"".join(lines[i] for i in home), np.int64)
+        at = np.cumsum([0, *(len(lines[i]) // 8 for i in home)])
+        out = set()
+        for i in np.flatnonzero(asked).tolist():
+            own, size, left, seen = np.frombuffer(lines[i], np.int64), np.frombuffer(chars[i], np.int64), set(places[i]), set()
+            known, listed = np.unique(own), own.tolist()
+            earlier = bisect.bisect_left(order, (ranks[i], keys[i]))
+            for lo, hi in ((0, min(8, earlier)), (8, earlier)):  # most need few
+                if lo >= hi or not left:
+                    continue
+                part = flat[at[lo] : at[hi]]
+                shared = known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part
+                keep = shared.copy()
+                keep[1:] |= shared[:-1]
+                keep[at[lo:hi] - at[lo]] = True
+                cut = np.concatenate(([0], np.cumsum(keep)))[at[lo : hi + 1] - at[lo]] * 8
+                body = np.where(shared, part, _OTHER)[keep].tobytes()
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    if body[a:b] in seen:
+                        continue
+                    seen.add(body[a:b])
+                    for first, end in _long_blocks(np.frombuffer(body[a:b], np.int64).tolist(), listed, size, least_chars):
+                        out.add((keys[i], first, end))
+                        left.difference_update(range(first, end))
+                    if not left:
+                        break
+        return pa.table(_marks(list(out)))
+
+    work.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
+    return work
+
+
+def _tried(described: DataFrame, held: DataFrame, found: DataFrame, rare: int, least_chars: int) -> DataFrame:
+    """Marks by the other earlier holders of frequent runs that the first holder left.
+
+    Holders and those who ask are both dealt into blocks, so a task holds two blocks however many holders a run has.
+    """
+    arrays = described.groupBy("key").agg(F.first("rank").alias("rank"), F.first("lines").alias("lines"), F.first("chars").alias("chars"))
+    many = held.where(F.col("n") > rare)
+    marks = found.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("marks"))
+    holding = many.where(F.col("key") != F.col("head")).groupBy("key").agg(F.collect_list("line").alias("many"))
+    asking = arrays.join(holding, "key").join(marks, "key", "left")
+    asking = durable(asking.mapInArrow(_left(least_chars), "key long, rank long, line long, places array<long>"))
+    sizes = asking.groupBy("line").agg(F.count(F.lit(1)).alias("asking"), F.max(F.struct("rank", "key")).alias("last"))
+    earlier = salted_join(many, sizes, ["line"], "key").where(F.struct("rank", "key") < F.col("last")).select("line", "key", "rank")
+    earlier = durable(earlier)
+    sizes = sizes.join(earlier.groupBy("line").agg(F.count(F.lit(1)).alias("holding")), "line")
+    sizes = durable(sizes.select("line", F.ceil(F.col("holding") / BLOCK_ROWS).cast("long").alias("home_blocks"), F.ceil(F.col("asking") / BLOCK_ROWS).cast("long").alias("ask_blocks")))
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-def _align(batches):
-    for batch in batches:
-        key, first, end = [], [], []
-        early, late = batch.column("early").to_pylist(), batch.column("late").to_pylist()
-        for k, a, b in zip(batch.column("v").to_pylist(), early, late):
-            for _, j, n in patience(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()):
-                key.append(k)
-                first.append(j)
-                end.append(j + n)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], ["key", "first", "end"])
+    home = salted_join(earlier, sizes, ["line"], "key").select("line", F.pmod(F.xxhash64("key"), F.col("home_blocks")).alias("home"), numbers("ask_blocks").alias("ask"), "key", F.lit(None).cast("array<long>").alias("places"), F.lit(False).alias("asked"))
+    ask = salted_join(asking, sizes, ["line"], "key").select("line", numbers("home_blocks").alias("home"), F.pmod(F.xxhash64("key"), F.col("ask_blocks")).alias("ask"), "key", "places", F.lit(True).alias("asked"))
+    rows = home.unionAll(ask).join(arrays, "key")
+    return rows.groupBy("line", "home", "ask").applyInArrow(_try(least_chars), "key long, first long, end long")
 
 
 def _strip(least_chars: int, with_text: bool):
@@ -128,18 +279,19 @@ def _strip(least_chars: int, with_text: bool):
     return work
 
 
-def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int = 20, with_text: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int = 20, with_text: bool = False, every: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256, and the text ``kept`` if asked for) of every input row.
 
     Lines end at line feeds and are equal up to the white space around them. A row is compared with every row of smaller
     doc_id that shares a line with it which at most ``rare`` different rows have, and for each more frequent line with the first
-    row that has it. Lines in a block aligned with such a row go if the block has ``least_chars`` characters. Rows are judged on the
+    row that has it; with ``every`` (as the registered query has it) what goes is what alignment with every row of smaller doc_id
+    tells, and ``rare`` only decides which pairs are aligned first. Lines in a block aligned with such a row go if the block has ``least_chars`` characters. Rows are judged on the
     input. Null and empty texts have no lines; a null id counts as larger than all others; rows repeated under one id with
     one text are one row here and all get its result; different texts of one id are ordered by a hash. An empty table gives
     an empty one; other columns are left behind.
     """
     rows = keyed(docs).withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    described = rows.select("key", "rank", "text").mapInArrow(_lines, "key long, rank long, lines binary, distinct array<long>")
+    described = rows.select("key", "rank", "text").mapInArrow(_lines(least_chars, every), "key long, rank long, lines binary, chars binary, distinct array<long>")
     described = durable(described)
     holders = described.select("key", "rank", F.explode("distinct").alias("line")).distinct()
     # the first holders, summed up on the map side, so a line that a third of the rows have is one row a task
@@ -149,10 +301,13 @@ def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int =
     few = few.select("all", F.posexplode("all").alias("at", "late")).select(F.explode(F.slice("all", 1, F.col("at"))).alias("early"), "late").select(F.col("early.key").alias("u"), F.col("late.key").alias("v"))
     many = held.where((F.col("n") > rare) & (F.col("key") != F.col("head"))).select(F.col("head").alias("u"), F.col("key").alias("v"))
     pairs = few.unionAll(many).distinct()
-    arrays = described.groupBy("key").agg(F.first("lines").alias("lines"))
-    pairs = pairs.join(arrays.select(F.col("key").alias("v"), F.col("lines").alias("late")), "v")
+    arrays = described.groupBy("key").agg(F.first("lines").alias("lines"), F.first("chars").alias("chars"))
+    pairs = pairs.join(arrays.select(F.col("key").alias("v"), F.col("lines").alias("late"), "chars"), "v")
     pairs = pairs.join(durable(arrays).select(F.col("key").alias("u"), F.col("lines").alias("early")), "u")
-    found = pairs.select("v", "early", "late").mapInArrow(_align, "key long, first long, end long")
+    found = pairs.select("v", "early", "late", "chars").mapInArrow(_align(least_chars), "key long, first long, end long")
+    if every:
+        found = durable(found)
+        found = found.unionAll(_tried(described, held, found, rare, least_chars))
     marks = durable(found.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("marks")))
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     return rows.select("key", "doc_id", "text").join(marks, "key", "left").mapInArrow(_strip(least_chars, with_text), schema)

@@ -86,4 +86,4 @@ def op5_lm_score(spark, sf_dir):
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir):
-    return remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return remove_repeated_lines(table(spark, sf_dir, "documents"), every=True)

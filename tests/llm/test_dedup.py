@@ -13,7 +13,7 @@ from recordrisk.llm.components import components
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.line_dedup import line_hash, patience, remove_repeated_lines
 from recordrisk.llm.near_dedup import PLACES, multisets, near_classes, signatures
-from recordrisk.llm import repeats
+from recordrisk.llm import line_dedup, repeats
 from recordrisk.llm.shared import raw
 from recordrisk.llm.suffix_dedup import duplicated_starts, remove_repeated_bytes
 
@@ -167,6 +167,20 @@ def test_repeated_lines(spark, documents):
     assert bag(remove_repeated_lines(docs).collect()) == bag(lines_removed(rows, 6, 20))
 
 
+@pytest.mark.parametrize("least_chars", [0, 20, 45])
+def test_repeated_lines_of_every_earlier_row(spark, documents, least_chars, monkeypatch):
+    """Frequent lines go wherever alignment with any earlier row tells, also if the first that has them doesn't match."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 5)
+    rng = random.Random(8)
+    pool = [f"line {i} of some length" for i in range(25)] + ["}", "", "  x", "{", "one two"]
+    made = [(5000, "\n".join(pool[::-1] * 2))] + [(5001 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(90)]
+    rows = documents + made
+    want = lines_removed(rows, len(rows), least_chars)
+    assert bag(want) != bag(lines_removed(rows, 6, least_chars))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(remove_repeated_lines(docs, least_chars=least_chars, every=True).collect()) == bag(want)
+
+
 def test_repeated_lines_of_odd_rows(odd, odd_rows):
     got = remove_repeated_lines(odd, with_text=True).collect()
     assert len(got) == len(odd_rows)
