@@ -1,5 +1,6 @@
 """Exact and near copies, repeated bytes, words and lines, against plain versions."""
 
+import math
 import random
 
 import brute
@@ -12,7 +13,7 @@ from recordrisk.llm.block_dedup import remove_repeated_words
 from recordrisk.llm.components import components
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.line_dedup import line_hash, patience, remove_repeated_lines
-from recordrisk.llm.near_dedup import PLACES, multisets, near_classes, signatures
+from recordrisk.llm.near_dedup import AGREE, BANDS, DEPTH, PLACES, multisets, near_classes, signatures
 from recordrisk.llm import line_dedup, repeats
 from recordrisk.llm.shared import raw
 from recordrisk.llm.suffix_dedup import duplicated_starts, remove_repeated_bytes
@@ -76,6 +77,21 @@ def test_near_classes_of_chains(spark):
     assert got == brute.near_classes(rows)
 
 
+def test_near_classes_of_pairs_with_few_equal_places(spark):
+    """Pairs at 0.8 that share a band but have 65 to 67.5 % equal places."""
+    rows = []
+    for i in (16144, 35167, 39487):
+        own = [f"s{i}x{j}" for j in range(13)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-1] + ["other"]))]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute.near_classes(rows) == {d: d - d % 2 for d, _ in rows}
+
+
+def test_verification_loses_less_than_the_bands():
+    lost = sum(math.comb(PLACES, n) * 0.8**n * 0.2 ** (PLACES - n) for n in range(math.ceil(AGREE * PLACES)))
+    assert lost < (1 - 0.8**DEPTH) ** BANDS
+
+
 def test_near_classes_of_odd_rows(odd, odd_rows):
     got = near_classes(odd).collect()
     assert len(got) == len(odd_rows)
