@@ -3,7 +3,8 @@
 A passage of m characters that occurs with at most k edits shares at least m - q + 1 - k q of its q-grams with the
 document, on diagonals (place in the document less place in the passage) that lie within k of each other. Shared q-grams
 are counted in overlapping bands of diagonals; a band that reaches the bound becomes a region, and the region is verified
-by aligning the passage with it, edits counted exactly.
+by aligning the passage with it, edits counted exactly. Short passages count without an edit only; those of fewer than q
+characters are looked up by a hash of the whole and compared.
 
 The passages are a stated query set: they go to the tasks in blocks of bounded size, a pass over the documents each.
 """
@@ -16,7 +17,7 @@ from recordrisk.llm.shared import gram_hashes, mix, raw, runs, slices, texts
 
 Q = 10
 EDITS = 0.08  # of a passage's characters; 1 - q * EDITS must stay positive
-SHORTEST = 30
+SHORTEST = 30  # characters from which a passage may be edited
 BLOCK_CHARS = 2_000_000
 _TABLE_BITS = 22
 _BMP = 0x10000
@@ -66,7 +67,7 @@ def normalised(data: np.ndarray, offsets: np.ndarray):
 class Passages:
     """Index of a block of passages: their q-grams, and for each passage its bound."""
 
-    def __init__(self, ids, passages, q: int, edits: float):
+    def __init__(self, ids, passages, q: int, edits: float, shortest: int = 0):
         body = [p.encode() for p in passages]
         chars, begins, _ = normalised(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)]))
         ends = begins[1:].copy()
@@ -75,7 +76,7 @@ class Passages:
         self.ids, self.q, self.edits = list(ids), q, edits
         self.items = [chars[a:b] for a, b in zip(begins[:-1], ends)]
         size = np.array([len(x) for x in self.items], np.int64)
-        self.size, self.budget = size, np.floor(edits * size).astype(np.int64)
+        self.size, self.budget = size, np.where(size < shortest, 0, np.floor(edits * size)).astype(np.int64)
         self.bound = np.maximum(size - q + 1 - self.budget * q, 1)
         grams = [gram_hashes(mix(x.astype(np.uint64)), q) for x in self.items]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -85,13 +86,37 @@ class Passages:
         self.item, self.place = item[order], place[order]
         self.grams, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
+        self.tiny: dict[int, dict[int, list[int]]] = {}  # by size, then by hash
+        for i in np.flatnonzero((size > 0) & (size < q)).tolist():
+            whole = int(gram_hashes(mix(self.items[i].astype(np.uint64)), int(size[i]))[0])
+            self.tiny.setdefault(int(size[i]), {}).setdefault(whole, []).append(i)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, passage, start, end, edits) of every region that holds, in characters of the original text."""
         chars, begins, origin = normalised(data, offsets)
-        h = gram_hashes(mix(chars.astype(np.uint64)), self.q)
+        mixed = mix(chars.astype(np.uint64))
+        return self._short(chars, mixed, begins, origin) + self._long(chars, mixed, begins, origin)
+
+    def _short(self, chars, mixed, begins, origin):
+        """Places of passages of fewer than q characters; of places that overlap the first."""
+        found = []
+        for size, wanted in self.tiny.items():
+            h = gram_hashes(mixed, size)
+            at = np.flatnonzero(np.isin(h, np.array(list(wanted), np.uint64)))
+            doc = np.searchsorted(begins, at, "right") - 1
+            inside = at + size <= begins[doc + 1]
+            free: dict[tuple[int, int], int] = {}
+            for p, d in zip(at[inside].tolist(), doc[inside].tolist()):
+                for i in wanted[int(h[p])]:
+                    if p >= free.get((d, i), 0) and np.array_equal(chars[p : p + size], self.items[i]):
+                        free[d, i] = p + size
+                        found.append((d, i, int(origin[p]), int(origin[p + size - 1]) + 1, 0))
+        return found
+
+    def _long(self, chars, mixed, begins, origin):
+        h = gram_hashes(mixed, self.q)
         if not len(h) or not len(self.grams):
             return []
         maybe = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
@@ -170,16 +195,16 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, q: int, edits: flo
     rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).distinct()
     ids, passages, size = [], [], 0
     for item, passage in rows.orderBy(id_col, text_col).toLocalIterator():
-        if len(" ".join(passage.split())) < shortest:
+        if not passage.split():
             continue
         if ids and size + len(passage) > BLOCK_CHARS:
-            yield Passages(ids, passages, q, edits)
+            yield Passages(ids, passages, q, edits, shortest)
             ids, passages, size = [], [], 0
         ids.append(item)
         passages.append(passage)
         size += len(passage)
     if ids:
-        yield Passages(ids, passages, q, edits)
+        yield Passages(ids, passages, q, edits, shortest)
 
 
 def _hits(index: Passages, column):
@@ -196,7 +221,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id"
 
     Texts are compared in lower case with runs of white space as one space. A passage counts if it occurs whole, with at most
     ``edits`` of its characters edited; overlapping places of one passage are reported once, the best. Passages under
-    ``shortest`` characters are no evidence and left out, null ones too. Null texts count as empty; repeated rows are
+    ``shortest`` characters must occur without an edit; blank and null ones are left out. Null texts count as empty; repeated rows are
     reported each; empty tables give an empty one; other columns are left behind.
     """
     spark, found = docs.sparkSession, None

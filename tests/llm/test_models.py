@@ -233,6 +233,14 @@ def test_passages_in_documents(spark, tables, documents):
     assert left == set(texts) - {d for d, _ in got}
 
 
+def test_short_passages_are_found_unedited(spark):
+    docs = spark.createDataFrame([(1, "the Seven \n seas are wide"), (2, "the sevem seas are wide"), (3, "ok"), (4, "no"), (5, "ok ok: a passage of twenty-nine"), (6, "a pasage of twenty-nine"), (7, None), (8, "o"), (9, "k")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "seven seas "), (2, "OK"), (3, "a passage of twenty-nine"), (4, " "), (5, ""), (6, None), (7, "wide")], "item_id long, text string")
+    hits = sorted(map(tuple, find_passages(docs, bench).collect()))
+    assert hits == [(1, 1, 4, 16, 0), (1, 7, 21, 25, 0), (2, 7, 19, 23, 0), (3, 2, 0, 2, 0), (5, 2, 0, 2, 0), (5, 2, 3, 5, 0), (5, 3, 7, 31, 0)]
+    assert sorted(r["doc_id"] for r in without_passages(docs, bench).collect()) == [4, 6, 7, 8, 9]
+
+
 def test_passages_of_odd_rows(spark, odd, odd_rows, none):
     passage = next(t for d, t in odd_rows if d == 7)[100:400]
     bench = spark.createDataFrame([(1, passage), (2, None), (3, "short"), (4, passage), (None, passage)], "item_id long, text string")
