@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from recordrisk.llm.shared import texts
+from recordrisk.llm.shared import inverse_of, texts
 from recordrisk.llm.tokenizer import encoded
 from recordrisk.workspace import durable
 
@@ -74,8 +74,9 @@ def cutting_stock(sizes, demand, capacity: int, tolerance: float = 1e-3, rounds:
         inverse[out] = row
         prices = prices - (value - 1) * row
         if step % 256 == 255:
-            inverse = np.linalg.inv(patterns)
-            used, prices = inverse @ demand, inverse.sum(axis=0)
+            fresh = inverse_of(patterns)
+            if fresh is not None:  # else the running one stays
+                inverse, used, prices = fresh, (fresh * demand).sum(axis=1), fresh.sum(axis=0)
     return patterns, np.maximum(used, 0)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordrisk.llm.shared import raw, texts
+from recordrisk.llm.shared import inverse_of, raw, texts
 
 BLOCK = 2048
 LEVEL = 3
@@ -25,7 +25,7 @@ class QualityModel:
     weights: tuple  # of the features
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((x * np.array(self.weights)).sum(axis=1), -30, 30)))
 
 
 def _compressor(dictionary: bytes):
@@ -67,10 +67,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     w = np.zeros(x.shape[1])
     penalty = ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - penalty @ w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+        gradient = (x * (weight * (y - p))[:, None]).sum(axis=0) - (penalty * w).sum(axis=1)
+        curve = x * (weight * p * (1 - p))[:, None]
+        hessian = np.array([(curve * column[:, None]).sum(axis=0) for column in x.T]) + penalty + 1e-9 * np.eye(len(w))
+        inverse = inverse_of(hessian)
+        if inverse is None:
+            break
+        step = (inverse * gradient).sum(axis=1)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

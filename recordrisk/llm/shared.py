@@ -160,6 +160,26 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def inverse_of(square: np.ndarray) -> np.ndarray | None:
+    """The inverse by row elimination with pivots, None where there is none.
+
+    Element by element, without the threaded linear algebra that can hang in a driver that Spark has forked.
+    """
+    n = len(square)
+    both = np.concatenate([np.asarray(square, float), np.eye(n)], axis=1)
+    for i in range(n):
+        at = i + int(np.abs(both[i:, i]).argmax())
+        if abs(both[at, i]) < 1e-12:
+            return None
+        both[[i, at]] = both[[at, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        some = np.flatnonzero(factor)
+        both[some] -= factor[some, None] * both[i]
+    return both[:, n:]
+
+
 # ---- joins ----------------------------------------------------------------------------------------------------
 
 SALTS = 32

@@ -1,6 +1,7 @@
 """Token counts, language model, quality, packing and decontamination, against plain versions."""
 
 import random
+import threading
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from recordrisk.llm.ngram_lm import BUCKETS, learn_weights, score_texts
 from recordrisk.llm.packing import best_pattern, cutting_stock, pack, plan
 from recordrisk.llm.quality import compressed, features, fit_logistic, fit_quality, score_quality
 from recordrisk.llm.queries import QUERIES, vocabulary
-from recordrisk.llm.shared import raw
+from recordrisk.llm.shared import inverse_of, raw
 from recordrisk.llm.token_counts import count_tokens
 from recordrisk.workspace import shared_folder
 
@@ -189,6 +190,25 @@ def test_packing(spark, odd, odd_rows, documents, none):
     assert pack(none, vocabulary()).collect() == []
 
 
+def test_inverse():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40):
+        square = rng.normal(size=(n, n))
+        assert np.allclose((inverse_of(square)[:, :, None] * square[None]).sum(axis=1), np.eye(n), atol=1e-8)
+    assert inverse_of(np.ones((3, 3))) is None
+
+
+def test_packing_ends_in_a_session_with_workers(spark, tables):
+    """The plan of a long program, refreshed several times, in a driver that has forked Python workers."""
+    docs = tables("documents")
+    assert pack(docs, vocabulary()).count() >= docs.count()
+    demand = np.random.default_rng(5).integers(1, 4000, 256)
+    worker = threading.Thread(target=lambda: plan(np.arange(1, 257), demand, 256), daemon=True)
+    worker.start()
+    worker.join(60)
+    assert not worker.is_alive()
+
+
 def test_alignment_counts_edits():
     rng = random.Random(7)
     for _ in range(150):
