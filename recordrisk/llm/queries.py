@@ -10,6 +10,7 @@ from recordrisk.llm.near_dedup import near_classes
 from recordrisk.llm.ngram_lm import score_texts
 from recordrisk.llm.packing import pack
 from recordrisk.llm.quality import fit_quality, in_fold, score_quality
+from recordrisk.llm.secrets import fit_secrets, secret_report
 from recordrisk.llm.shared import table
 from recordrisk.llm.suffix_dedup import remove_repeated_bytes
 from recordrisk.llm.token_counts import count_tokens
@@ -87,3 +88,9 @@ def op5_lm_score(spark, sf_dir):
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir):
     return remove_repeated_lines(table(spark, sf_dir, "documents"), every=True)
+
+
+@query("op13_secrets")
+def op13_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_report(docs, fit_secrets(docs))
