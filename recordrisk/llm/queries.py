@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recordrisk.llm.block_dedup import remove_repeated_words
 from recordrisk.llm.decontaminate import find_passages
+from recordrisk.llm.divergence import audit
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.line_dedup import remove_repeated_lines
 from recordrisk.llm.near_dedup import near_classes
@@ -90,6 +91,33 @@ def op8_line_dedup(spark, sf_dir):
     return remove_repeated_lines(table(spark, sf_dir, "documents"), every=True)
 
 
+DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id FROM documents),
+    w AS (SELECT id, lang, source, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    cells AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL),
+    filled AS (SELECT lang, source, term, coalesce(c, 0) AS c, k.n AS all_c FROM g JOIN kept k USING (lang) LEFT JOIN cells USING (lang, source, term)),
+    p AS (SELECT lang, source, term, c, 1 + CAST(1000000000 * (c + 2)::HUGEINT // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p,
+        1 + CAST(1000000000 * (all_c + 2)::HUGEINT // (total + 2 * v) AS BIGINT) AS q FROM filled JOIN langs USING (lang)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS s
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    found AS (SELECT * FROM pairs UNION ALL
+        SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+    QUALIFY part = 'pair' OR rank <= 10"""
+
+
+@query("op11_divergence", DIVERGENCE_SQL)
+def op11_divergence(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"))
+
+
 @query("op13_secrets")
 def op13_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
