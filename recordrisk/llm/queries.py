@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recordrisk.llm.block_dedup import remove_repeated_words
 from recordrisk.llm.decontaminate import find_passages
+from recordrisk.llm.conversations import damaged, repair, turns_of
 from recordrisk.llm.divergence import audit
 from recordrisk.llm.exact_dedup import exact_groups
 from recordrisk.llm.line_dedup import remove_repeated_lines
@@ -118,6 +119,62 @@ def op11_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"))
 
 
+def _repair_sql() -> str:
+    """Backwards over the rows of all conversations at once, with the least (cost, audit) from each of the four states."""
+    some = lambda cost, letter, line, then: f"{{'c': {then}.c + {cost}, 'a': '{letter}' || {then}.a, 'r': {line} || {then}.r}}"
+    given = ["user", "user", "assistant", "user"]
+    then = ["s2", "s2", "s3", "s2"]
+    kept = [{"s": "s1", "u": "s2"}, {"u": "s2"}, {"a": "s3"}, {"u": "s2"}]
+    states = []
+    for i in range(4):
+        keep = " ".join(f"WHEN '{k}' THEN {some('cut', 'K', 'chr(10) || role || chr(58) || text', v)}" for k, v in kept[i].items())
+        rename = some("cut + 1", "R", f"chr(10) || '{given[i]}:' || text", then[i])
+        drop = some("2", "D", "''", f"s{i}")
+        states.append(f"CASE WHEN gone THEN {drop} ELSE least({drop}, CASE substr(role, 1, 1) {keep} END, {rename}) END AS b{i}")
+    more = lambda role, then: some("5", "I", f"chr(10) || '{role}:'", then)
+    lines = ["''", "chr(10) || 'user:' || chr(10) || 'assistant:'", "chr(10) || 'assistant:'", "''"]
+    end = ", ".join(f"{{'c': {5 * n}, 'a': '{'I' * n}', 'r': {x}}} AS s{i}" for i, (n, x) in enumerate(zip((0, 2, 1, 0), lines)))
+    return rf"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+        lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS uid,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS k FROM named, crc),
+    dealt AS (SELECT conv_id, turn, uid, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE k <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, uid, copy) AS i,
+        regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) AS last_char, left(role, 1) AS initial FROM dealt),
+    judged AS (SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+    lines AS (SELECT conv_id, i, role, text, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cut FROM judged),
+    walk AS (
+      SELECT conv_id, max(i) + 1 AS i, {end} FROM lines GROUP BY conv_id
+      UNION ALL
+      SELECT conv_id, i, least(b0, {more('user', 'f2')}) AS s0, least(b1, {more('user', 'f2')}) AS s1, f2 AS s2, least(b3, {more('user', 'b2')}) AS s3
+      FROM (SELECT *, least(b2, {more('assistant', 'b3')}) AS f2 FROM (
+        SELECT lines.conv_id, lines.i, {', '.join(states)}
+        FROM walk JOIN lines ON walk.conv_id IS NOT DISTINCT FROM lines.conv_id AND lines.i = walk.i - 1))),
+    repaired AS (SELECT conv_id, CAST(s0.c AS BIGINT) AS cost, s0.a AS audit, sha256(substr(s0.r, 2)) AS repaired_sha256 FROM walk WHERE i = 1),
+    counted AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted ON c.conv_id IS NOT DISTINCT FROM counted.conv_id
+    LEFT JOIN repaired ON c.conv_id IS NOT DISTINCT FROM repaired.conv_id"""
+
+
+@query("op12_conversations", _repair_sql())
+def op12_conversations(spark, sf_dir):
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    return repair(damaged(turns), turns)
+
+
 @query("op13_secrets")
 def op13_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

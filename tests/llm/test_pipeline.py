@@ -54,4 +54,4 @@ def test_sql(spark, data, name):
 
 
 def test_a_query_for_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
