@@ -1,6 +1,7 @@
 """Classifiers on Spark ML, with the reference parameters as defaults."""
 
 import math
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -13,7 +14,7 @@ from recordrisk.operators.evaluate import confusion_counts
 from recordrisk.operators.features import fit_scaling
 from recordrisk.operators.resample import SEED, balanced_weights, stratified_folds
 from recordrisk.schemas import FEATURES, METRIC, TARGET
-from recordrisk.workspace import durable, scratch
+from recordrisk.workspace import concurrently, durable, scratch
 
 
 def _fit(df, stage, features, label, weight):
@@ -90,7 +91,9 @@ def _scaling_stages(features, scaling):
 
 
 def _inputs(model):
-    """Feature names of a fitted model, from its assembler."""
+    """Feature names of a fitted model: its own (``BoostedModel``), or those of its assembler."""
+    if hasattr(model, "features"):
+        return list(model.features)
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     return [c.rsplit("_", 1)[0] for c in assembler.getInputCols()]
 
@@ -116,7 +119,8 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     """Importance per feature, lowest first, marking those above the mean."""
     from pyspark.sql import SparkSession
 
-    names, values = _inputs(model), model.stages[-1].featureImportances.toArray()
+    names = _inputs(model)
+    values = model.importances if hasattr(model, "importances") else model.stages[-1].featureImportances.toArray()
     mean = float(values.mean())
     rows = [(n, float(v), int(v > mean)) for n, v in zip(names, values)]
     return SparkSession.active().createDataFrame(
@@ -131,29 +135,34 @@ def rule_classifier(df: DataFrame, col="Funding", threshold=R.RULE_THRESHOLD) ->
 
 
 def cross_validate_f1(df: DataFrame, key, train, k=5, features=FEATURES, label=TARGET, resample=None,
-                      when="inside", seed=SEED) -> DataFrame:
+                      when="inside", seed=SEED, at_once=5) -> DataFrame:
     """F1 and rows per fold, then mean and population deviation of F1.
 
     ``train`` fits a model on a table; ``resample`` balances one. By default it is applied
     to the training folds only; ``when="before"`` resamples first and folds afterwards,
-    which lets copies of a row fall on both sides.
+    which lets copies of a row fall on both sides. Up to ``at_once`` folds are trained at the same time, from one stored
+    table of folds.
     """
     if resample and when == "before":
         df = resample(df).withColumn("_row", F.coalesce(F.col(key).cast("string"), F.concat_ws(":", label, "draw")))
         key = "_row"
     spark = df.sparkSession
     with scratch(spark):
-        folds, scores, rows = durable(stratified_folds(df, key, label, k, seed)), [], []
-        for fold in range(k):
+        folds = durable(stratified_folds(df, key, label, k, seed))
+
+        def tested(fold):
             with scratch(spark):
                 seen = folds.where(F.col("fold") != fold)
                 if resample and when == "inside":
                     seen = durable(resample(seen))
-                tested = predict(train(seen), folds.where(F.col("fold") == fold))
-                cells = confusion_counts(tested, label, "prediction").first()
-            hits, wrong = cells["tp"], cells["fp"] + cells["fn"]
-            scores.append(2 * hits / (2 * hits + wrong) if hits + wrong else 0.0)
-            rows.append(float(sum(cells)))
+                answers = predict(train(seen), folds.where(F.col("fold") == fold))
+                return confusion_counts(answers, label, "prediction").first()
+
+        cells = concurrently(spark, [partial(tested, fold) for fold in range(k)], at_once)
+    scores, rows = [], [float(sum(c)) for c in cells]
+    for c in cells:
+        hits, wrong = c["tp"], c["fp"] + c["fn"]
+        scores.append(2 * hits / (2 * hits + wrong) if hits + wrong else 0.0)
     mean = sum(scores) / k
     deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
     out = [("cv", f"fold_{i}", s) for i, s in enumerate(scores)] + [("cv", f"rows_{i}", n) for i, n in enumerate(rows)]

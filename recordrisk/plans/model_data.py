@@ -33,6 +33,22 @@ def clear_classes(table, label="stage3"):
     return table.withColumn(label, F.when(F.col("StageEncoded") <= 2, 0).when(F.col("StageEncoded") <= 5, 1).otherwise(2))
 
 
+# Labels that need two features, again without noise.
+MANY_ROUNDS = 4
+
+
+def both_clear(table, label="target"):
+    """1 from a late stage and several rounds on."""
+    late, many = F.col("StageEncoded") >= LATE_STAGE, F.coalesce(F.col("FundingRounds"), F.lit(0)) >= MANY_ROUNDS
+    return table.withColumn(label, F.when(late & many, 1).otherwise(0))
+
+
+def both_classes(table, label="class3"):
+    """0 for early stages, else 1 or 2 by the number of rounds."""
+    many = F.coalesce(F.col("FundingRounds"), F.lit(0)) >= MANY_ROUNDS
+    return table.withColumn(label, F.when(F.col("StageEncoded") <= 2, 0).when(many, 2).otherwise(1))
+
+
 def learnable(table, label="target"):
     """A label that follows from the features but for one record in twenty."""
     rule = (F.coalesce(F.col("TotalFunding"), F.lit(0.0)) > 500_000) & (F.col("FundingRounds") >= 3)

@@ -1,10 +1,12 @@
 """Where jobs put durable intermediate data, and how small results are recognised."""
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,7 +20,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only a local session may fall back to a temporary folder of the machine.
     """
-    base = _SCRATCH[-1] if _SCRATCH else _shared_base(spark)
+    base = _SCRATCH.get() or _shared_base(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,7 +34,8 @@ def _shared_base(spark):
     return base
 
 
-_SCRATCH: list[str] = []
+# The innermost folder; each thread has its own, and those of ``concurrently`` start with that of the caller.
+_SCRATCH: contextvars.ContextVar = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
@@ -42,14 +45,34 @@ def scratch(spark: SparkSession):
     What is returned from it must not depend on them: write it elsewhere, or take values.
     """
     folder = f"{_shared_base(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    _SCRATCH.append(folder)
+    before = _SCRATCH.set(folder)
     try:
         yield folder
     finally:
-        _SCRATCH.remove(folder)
+        _SCRATCH.reset(before)
         remove(spark, folder)
 
 
+def concurrently(spark: SparkSession, calls, at_once: int = 4) -> list:
+    """Results of the calls in their order, up to ``at_once`` running at a time, each in a scheduler pool of its own.
+
+    Jobs of different calls share the cluster. If one fails, the others end first and its error is raised.
+    """
+    from pyspark import inheritable_thread_target
+
+    def pooled(number, call):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"part-{number}")
+        try:
+            return call()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        waiting = [pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(pooled), n, call) for n, call in enumerate(calls)]
+        wait(waiting)
+    return [w.result() for w in waiting]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
