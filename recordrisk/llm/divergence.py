@@ -12,10 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from recordrisk.llm.shared import raw, slices, words
 from recordrisk.workspace import durable, lookup
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes that make terms: letters of ASCII, and all of which characters beyond ASCII consist. Capitals of ASCII become small.
+TERM = np.zeros(256, bool)
+TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[0x41:0x5B] += 32
+COUNT_BYTES = 16 << 20  # texts counted together
 SCALE = 1_000_000_000
 BLOCK_TERMS = 4096  # terms of a block, about
 BLOCK_GROUPS = 64  # groups of a block, at most
@@ -134,6 +139,28 @@ def _traverse(table: pa.Table) -> pa.Table:
                      "value": pa.array(sums.ravel()[keep])})
 
 
+def _slice_counts(batches):
+    """Counts per group and term of a few megabytes of texts at a time; equal terms are found by their bytes."""
+    for batch in batches:
+        data, offsets = raw(batch.column("text"))
+        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        group = langs.indices.to_numpy().astype(np.int64) * max(1, len(sources.dictionary)) + sources.indices.to_numpy()
+        for first, _, body, at in slices(data, offsets, COUNT_BYTES):
+            starts, ends, doc = words(body, at, TERM)
+            kept = SMALL[body[TERM[body]]]  # nothing but terms, one after the other
+            places = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+            terms = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)]).dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            own, times = np.unique(doc * size + terms.indices.to_numpy(), return_counts=True)
+            cell, back = np.unique(group[first + own // size] * size + own % size, return_inverse=True)
+            n = np.bincount(back, times, len(cell)).astype(np.int64)  # exact: below 2**53
+            of, code = cell // size, cell % size
+            per = max(1, len(sources.dictionary))
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(of // per)), sources.dictionary.take(pa.array(of % per)), terms.dictionary.take(pa.array(code)).cast(pa.string()),
+                 pa.array(n), pa.array(np.bincount(back, minlength=len(cell)).astype(np.int64))], ["lang", "source", "term", "n", "docs"])
+
+
 # ---- Spark ----------------------------------------------------------------------------------------------------------
 
 
@@ -149,16 +176,9 @@ def groups_of(docs: DataFrame, text_col="text", lang_col="lang", source_col="sou
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and rows that hold the term.
-
-    The terms of a row are sorted, so the first of equal ones stands for the row, and one aggregate with partial sums on the
-    map side gives both counts.
-    """
-    found = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    rows = docs.select("lang", "source", F.explode(F.transform(F.array(found), lambda a: F.transform(
-        a, lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.get(a, i - 1)), 1).otherwise(0).alias("new"))))[0]).alias("t"))
-    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("t.new").cast("long").alias("docs"))
+    """(lang, source, term, n, docs): occurrences, and rows that hold the term. Tasks count slices of their rows first."""
+    rows = docs.mapInArrow(_slice_counts, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, block_terms: int = BLOCK_TERMS, block_groups: int = BLOCK_GROUPS,

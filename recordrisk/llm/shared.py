@@ -67,12 +67,12 @@ def slices(data: np.ndarray, offsets: np.ndarray, budget: int = SLICE_BYTES):
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every word; words end at document borders."""
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every word; words end at document borders. ``letters`` tells which bytes make words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = letters[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
