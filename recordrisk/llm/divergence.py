@@ -20,7 +20,7 @@ TERM = np.zeros(256, bool)
 TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
 SMALL = np.arange(256, dtype=np.uint8)
 SMALL[0x41:0x5B] += 32
-COUNT_BYTES = 16 << 20  # texts counted together
+COUNT_BYTES = 4 << 20  # texts counted together
 SCALE = 1_000_000_000
 BLOCK_TERMS = 4096  # terms of a block, about
 BLOCK_GROUPS = 64  # groups of a block, at most
