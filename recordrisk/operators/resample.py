@@ -113,7 +113,7 @@ def upsample_with_replacement(df: DataFrame, key, label, majority=None, seed=SEE
     return kept.unionByName(drawn.select(*df.columns, "draw"))
 
 
-def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(), scale=False, shrink_k=False) -> DataFrame:
+def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(), scale=False, shrink_k=False, cells=None) -> DataFrame:
     """Synthetic rows until every class is as large as the largest.
 
     A draw picks a row of the class, one of its ``k`` nearest rows of the same class, and a
@@ -121,7 +121,7 @@ def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(),
     Features are compared as they are unless ``scale`` is set; ``integer_cols`` are cut to
     whole numbers and missing values count as zero. Returns key (NULL for synthetic rows), label, features and ``draw``.
     A class of fewer than two rows is an error, and one of ``k`` rows or fewer too unless ``shrink_k``
-    allows all its others as neighbours. The largest class needs none.
+    allows all its others as neighbours. The largest class needs none. With ``cells`` neighbours come from a cell index.
     """
     features = list(features)
     rows = df.where(F.col(label).isNotNull()).select(key, label, *[zero_filled(c).alias(c) for c in features])
@@ -129,7 +129,7 @@ def smote(df: DataFrame, key, label, features, k=5, seed=SEED, integer_cols=(),
     counts = class_counts(rows, label)
     for row in counts.where(F.col("n") <= (1 if shrink_k else k)).where(F.col("n") < counts.agg(F.max("n")).scalar()).orderBy("n").limit(1).collect():
         raise ValueError(f"class {row[label]} has {row['n']} rows, too few for {k} neighbours")
-    synthetic = smote_rows(rows, key, label, features, k, seed, integer_cols, scale)
+    synthetic = smote_rows(rows, key, label, features, k, seed, integer_cols, scale, cells)
     original = rows.withColumn("draw", F.lit(None).cast("long"))
     return original.unionByName(synthetic.withColumn(key, F.lit(None).cast(rows.schema[key].dataType)).select(
         key, label, *features, "draw"))
@@ -151,10 +151,10 @@ def smote_draws(rows: DataFrame, key, label, k=5, seed=SEED) -> DataFrame:
     return draws.join(indexed, [label, "_idx"]).select(label, "draw", key, "rank", "u")
 
 
-def smote_rows(rows: DataFrame, key, label, features, k, seed, integer_cols=(), scale=False) -> DataFrame:
+def smote_rows(rows: DataFrame, key, label, features, k, seed, integer_cols=(), scale=False, cells=None) -> DataFrame:
     """The synthetic rows alone, with the keys of both parents."""
     draws = durable(smote_draws(rows, key, label, k, seed))
-    pairs = nearest_in_class(rows, draws.select(label, key).distinct(), key, label, features, k, scale)
+    pairs = nearest_in_class(rows, draws.select(label, key).distinct(), key, label, features, k, scale, cells=cells)
     parents = draws.join(pairs, [label, key, "rank"])
     position = {c: i for i, c in enumerate(features)}
 
