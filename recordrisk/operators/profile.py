@@ -71,9 +71,13 @@ def correlation_with_target(df: DataFrame, features, target) -> DataFrame:
 
 
 def latest_prediction(log: DataFrame, order, key=None) -> DataFrame:
-    """The newest row of the log, per key if one is given, as a partial aggregate."""
+    """The newest row of the log, per key if one is given, as a partial aggregate.
+
+    Rows without an order are left out. Of rows of the same order the greatest counts, column by column, missing values least.
+    """
     rest = [c for c in log.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
+    ranked = F.when(F.col(order).isNotNull(), F.struct(F.col(order).alias("_order"), *[F.col(c) for c in rest if c != order]))
+    newest = F.max_by(F.struct(*rest), ranked).alias("_row")
     grouped = log.groupBy(*([key] if key else [])).agg(newest)
     return grouped.where(F.col("_row").isNotNull()).select(*([key] if key else []), "_row.*")
 

@@ -8,13 +8,14 @@ from recordrisk.operators import models as G, score as I
 from recordrisk.operators.features import FeatureFit, build_features_basic, fit_encodings_basic, fit_features
 from recordrisk.plans.encode_queries import rounded
 from recordrisk.plans.model_data import LATE_STAGE, fitted_table
+from recordrisk.plans.evaluate_queries import AUC
 from recordrisk.plans.profile_queries import KPI_SQL, OUTCOME_SQL
 from recordrisk.plans.registry import query
 from recordrisk.plans.sqltext import (
-    CITY_FIXED, FEATURES, HISTORY, RECORDS, advice_sql, band_case, in_list, industry_case, reason_sql, stage_case)
+    CITY_FIXED, FEATURES, HISTORY, RECORDS, SCORES, advice_sql, band_case, in_list, industry_case, reason_sql, stage_case)
 from recordrisk.schemas import TARGET
 from recordrisk.sources import io, views as V
-from recordrisk.streaming import streams as J
+from recordrisk.streaming import keyed as K, streams as J
 from recordrisk.workspace import durable, shared_folder
 
 _ARGS = ("Prediction", "Funding", "Rounds", "City")
@@ -161,3 +162,32 @@ def j2_live_kpis(spark, sf_dir):
 @query("j3_live_outcome_counts", OUTCOME_SQL)
 def j3_live_outcome_counts(spark, sf_dir):
     return _published(spark, J.live_outcome_counts(_log_stream(spark, sf_dir), "Industry"))
+
+
+@query("j3_keyed_merge", OUTCOME_SQL)
+def j3_keyed_merge(spark, sf_dir):
+    """The same counts, with each batch merged into the parts of the table in which its keys lie."""
+    folder, live = shared_folder(spark, "merged"), J.live_outcome_counts(_log_stream(spark, sf_dir), "Industry")
+    K.merge_published(live, f"{folder}/table", ["Industry"], f"{folder}/progress", once=True).awaitTermination()
+    return K.read_merged(spark, f"{folder}/table", live.schema)
+
+
+@query("e10_live_latest", f"""WITH {HISTORY} SELECT City, arg_max(Prediction, pred_id) AS Prediction,
+  arg_max(Confidence, pred_id) AS Confidence, max(pred_id) AS pred_id FROM history GROUP BY City""")
+def e10_live_latest(spark, sf_dir):
+    """The newest prediction per city, kept as state of its key and merged into a table."""
+    folder = shared_folder(spark, "latest")
+    with K.state_store(spark):
+        live = K.live_latest(_log_stream(spark, sf_dir).select("City", "Prediction", "Confidence", "pred_id"), "City", "pred_id")
+        K.merge_published(live, f"{folder}/table", ["City"], f"{folder}/progress", once=True).awaitTermination()
+    return K.read_merged(spark, f"{folder}/table", live.schema)
+
+
+@query("h4_live_auc", f"WITH {SCORES}, {AUC} SELECT round(auc, 9) AS roc_auc, (SELECT count(DISTINCT score) FROM scores) AS thresholds FROM area")
+def h4_live_auc(spark, sf_dir):
+    """The area under the ROC curve of a stream of scores, from sums of the parts of its counts, and the number of scores."""
+    folder, schema = shared_folder(spark, "auc"), V.table(spark, sf_dir, "orders").schema
+    stream = V.scores_of(J.read_stream(spark, f"{sf_dir}/orders.parquet*", schema))
+    K.publish_scores(stream, f"{folder}/table", f"{folder}/progress", once=True).awaitTermination()
+    counts = K.read_merged(spark, f"{folder}/table", "score double, pos long, neg long")
+    return counts.agg(F.round(F.lit(K.live_auc(spark, f"{folder}/table")), 9).alias("roc_auc"), F.count(F.lit(1)).alias("thresholds"))

@@ -124,8 +124,13 @@ def requests_from(log: DataFrame) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, prediction and score per order, for the evaluation operators."""
+    return scores_of(table(spark, sf_dir, "orders"))
+
+
+def scores_of(orders: DataFrame) -> DataFrame:
+    """The same from a table or stream of orders."""
     score = F.round(F.col("o_totalprice") / 500000, 4)
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("label"),
         F.when(score > 0.5, 1).otherwise(0).alias("prediction"),

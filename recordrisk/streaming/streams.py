@@ -19,7 +19,7 @@ def read_stream(spark: SparkSession, path, schema, format="parquet", files_per_t
     return reader.load(path)
 
 
-def _start(writer, checkpoint, once):
+def start(writer, checkpoint, once):
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -27,7 +27,7 @@ def _start(writer, checkpoint, once):
 def score_stream(requests: DataFrame, path, checkpoint, model=None, fit=None, encodings=None, style="service", once=False):
     """Scores each request as it arrives and appends it to the log at ``path``."""
     scored = log_rows(log_of(score_batch(requests, model, fit, encodings, style)))
-    return _start(scored.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
+    return start(scored.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
 
 
 def live_kpis(log: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def publish(live: DataFrame, path, checkpoint, once=False):
     def replace(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         save_document(spark, {"batch": number}, f"{path}/done/{number:020d}")
-        for old in _published(spark, path)[:-2]:
+        for old in published(spark, path)[:-2]:
             for folder in (f"{path}/done/{old:020d}", f"{path}/batch={old}"):
                 remove(spark, folder)
 
-    return _start(live.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, once)
+    return start(live.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, once)
 
 
-def _published(spark, path):
+def published(spark, path):
     """Numbers of the batches that are complete, oldest first."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -74,7 +74,7 @@ def _published(spark, path):
 
 def read_published(spark: SparkSession, path, schema) -> DataFrame:
     """The table of the last complete batch; empty before the first."""
-    done = _published(spark, path)
+    done = published(spark, path)
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/batch={done[-1]}")
