@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from recordrisk.functions import tables as R
 from recordrisk.operators import encode as C, features as D, profile as E
+from recordrisk.operators.sketches import append_summary, frequent_values, merged_quantile, rank_error
 from recordrisk.plans.registry import query
 from recordrisk.plans.sqltext import FEATURES, HISTORY, MASTER, RECORDS, industry_case, map_case, stage_case
 from recordrisk.schemas import FEATURES as FEATURE_LIST, TARGET
 from recordrisk.sources import views as V
+from recordrisk.workspace import shared_folder
 
 
 def features(spark, sf_dir, keep):
@@ -31,6 +33,29 @@ def e2_top_k_values(spark, sf_dir):
     return E.top_k_values(V.raw_records(spark, sf_dir), "City", 10)
 
 
+@query("e2_frequent_values", f"""WITH {RECORDS} SELECT City, count(*) AS n FROM records WHERE City IS NOT NULL
+GROUP BY City ORDER BY n DESC, City LIMIT 10""")
+def e2_frequent_values(spark, sf_dir):
+    """The same from summaries of four appends, whose candidates are counted."""
+    records, path = V.raw_records(spark, sf_dir), shared_folder(spark, "summary")
+    for batch in range(4):
+        append_summary(records.where(F.col("id") % 4 == batch), path, batch, frequent=["City"])
+    return frequent_values(records, path, "City", 10)
+
+
+@query("d1_merged_quantile", """SELECT q, (SELECT count(*) FROM lineitem) AS n, 1 AS within FROM (SELECT CAST(unnest([0.01, 0.5, 0.99]) AS DOUBLE) AS q)""")
+def d1_merged_quantile(spark, sf_dir):
+    """Quantiles of prices from sketches of four appends: whether the exact share of rows up to each lies within the bound."""
+    rows, path = V.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("price")), shared_folder(spark, "summary")
+    for batch in range(4):
+        append_summary(rows.where(F.col("l_orderkey") % 4 == batch), path, batch, quantiles=["price"])
+    found = merged_quantile(spark, path, "price", [0.01, 0.5, 0.99]).collect()  # three rows
+    share = lambda test: F.avg(test.cast("double"))
+    within = [(share(F.col("price") < r["value"]) <= r["q"] + rank_error()) & (share(F.col("price") <= r["value"]) >= r["q"] - rank_error()) for r in found]
+    checked = rows.agg(F.array(*[F.struct(F.lit(r["q"]).alias("q"), F.lit(r["n"]).alias("n"), w.cast("int").alias("within")) for r, w in zip(found, within)]).alias("x"))
+    return checked.select(F.inline("x"))
+
+
 @query("e3_class_balance", """WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic)
 SELECT toxic, n, round((SELECT max(n) FROM c) / CAST(n AS DOUBLE), 6) AS ratio FROM c""")
 def e3_class_balance(spark, sf_dir):
