@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from recordrisk.functions import columns as C, tables as R
 from recordrisk.operators.evaluate import confusion_counts
 from recordrisk.operators.features import fit_scaling
+from recordrisk.operators.forest import with_least_split
 from recordrisk.operators.resample import SEED, balanced_weights, stratified_folds
 from recordrisk.schemas import FEATURES, METRIC, TARGET
 from recordrisk.workspace import concurrently, durable, scratch
@@ -32,12 +33,13 @@ def with_filled(df: DataFrame, features) -> DataFrame:
 
 
 def train_random_forest(df: DataFrame, features=FEATURES, label=TARGET, trees=200, depth=12, min_leaf=2,
-                        balanced=True, seed=SEED) -> PipelineModel:
-    """Random forest with balanced weights; binary or multi-class."""
+                        balanced=True, seed=SEED, min_split=5) -> PipelineModel:
+    """Random forest with balanced weights; binary or multi-class. Nodes of fewer than ``min_split`` rows aren't split."""
     if balanced:
         df = balanced_weights(df, label, "_weight")
     stage = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
-    return _fit(df, stage, features, label, "_weight" if balanced else None)
+    model = _fit(df, stage, features, label, "_weight" if balanced else None)
+    return with_least_split(model, min_split) if min_split > 2 * min_leaf else model
 
 
 def train_boosted_trees(df: DataFrame, features=FEATURES, label=TARGET, rounds=200, depth=8, rate=0.05,
