@@ -5,7 +5,8 @@ characters to go: no block that goes is without one around each of its lines. A
 one links each holder with the first, so links grow with the lines and not with the square of a group. Every linked pair is
 aligned by patience diff on line hashes: lines that are unique in both are matched along the longest common order, and
 matches grow over the lines around them. Aligned common blocks go from the later document. Holders whose frequent run is
-left are then tried with its other earlier holders, in blocks, until its lines are gone or no holder is left.
+left are then tried with its next holders, and who is left after that with all earlier ones, in blocks, until its lines are gone
+or no holder is left. Of rows with the same lines only the first takes part; the others' lines go.
 """
 
 import bisect
@@ -13,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from recordrisk.llm.repeats import keyed
 from recordrisk.llm.shared import _HASHES, mix, raw, salted_join
@@ -21,6 +22,7 @@ from recordrisk.workspace import durable
 
 RARE = 6  # holders of a line that are all linked with each other
 BLOCK_ROWS = 512
+FIRST = 64  # holders of a frequent run that all meet before the others
 _OTHER = 2  # stands for lines that the later document lacks; hashes of lines are odd or 0
 
 
@@ -234,21 +236,20 @@ def _try(least_chars: int):
     return work
 
 
-def _tried(described: DataFrame, held: DataFrame, found: DataFrame, rare: int, least_chars: int) -> DataFrame:
-    """Marks by the other earlier holders of frequent runs that the first holder left.
+def _asking(arrays: DataFrame, many: DataFrame, marks: DataFrame, least_chars: int) -> DataFrame:
+    """(key, rank, line, places) of frequent runs of which, given the marks so far, a line is left."""
+    marks = marks.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("marks"))
+    holding = many.where(F.col("key") != F.col("head")).groupBy("key").agg(F.collect_list("line").alias("many"))
+    asking = arrays.join(holding, "key").join(marks, "key", "left")
+    return durable(asking.mapInArrow(_left(least_chars), "key long, rank long, line long, places array<long>"))
+
+
+def _meet(arrays: DataFrame, asking: DataFrame, earlier: DataFrame, least_chars: int) -> DataFrame:
+    """Marks of those who ask, by the earlier holders (line, key) of their runs.
 
     Holders and those who ask are both dealt into blocks, so a task holds two blocks however many holders a run has.
     """
-    arrays = described.groupBy("key").agg(F.first("rank").alias("rank"), F.first("lines").alias("lines"), F.first("chars").alias("chars"))
-    many = held.where(F.col("n") > rare)
-    marks = found.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("marks"))
-    holding = many.where(F.col("key") != F.col("head")).groupBy("key").agg(F.collect_list("line").alias("many"))
-    asking = arrays.join(holding, "key").join(marks, "key", "left")
-    asking = durable(asking.mapInArrow(_left(least_chars), "key long, rank long, line long, places array<long>"))
-    sizes = asking.groupBy("line").agg(F.count(F.lit(1)).alias("asking"), F.max(F.struct("rank", "key")).alias("last"))
-    earlier = salted_join(many, sizes, ["line"], "key").where(F.struct("rank", "key") < F.col("last")).select("line", "key", "rank")
-    earlier = durable(earlier)
-    sizes = sizes.join(earlier.groupBy("line").agg(F.count(F.lit(1)).alias("holding")), "line")
+    sizes = asking.groupBy("line").agg(F.count(F.lit(1)).alias("asking")).join(earlier.groupBy("line").agg(F.count(F.lit(1)).alias("holding")), "line")
     sizes = durable(sizes.select("line", F.ceil(F.col("holding") / BLOCK_ROWS).cast("long").alias("home_blocks"), F.ceil(F.col("asking") / BLOCK_ROWS).cast("long").alias("ask_blocks")))
 
     def numbers(n):
@@ -257,7 +258,24 @@ def _tried(described: DataFrame, held: DataFrame, found: DataFrame, rare: int, l
     home = salted_join(earlier, sizes, ["line"], "key").select("line", F.pmod(F.xxhash64("key"), F.col("home_blocks")).alias("home"), numbers("ask_blocks").alias("ask"), "key", F.lit(None).cast("array<long>").alias("places"), F.lit(False).alias("asked"))
     ask = salted_join(asking, sizes, ["line"], "key").select("line", numbers("home_blocks").alias("home"), F.pmod(F.xxhash64("key"), F.col("ask_blocks")).alias("ask"), "key", "places", F.lit(True).alias("asked"))
     rows = home.unionAll(ask).join(arrays, "key")
-    return rows.groupBy("line", "home", "ask").applyInArrow(_try(least_chars), "key long, first long, end long")
+    return durable(rows.groupBy("line", "home", "ask").applyInArrow(_try(least_chars), "key long, first long, end long"))
+
+
+def _tried(arrays: DataFrame, held: DataFrame, found: DataFrame, rare: int, least_chars: int) -> DataFrame:
+    """Marks by the other earlier holders of frequent runs that the first holder left.
+
+    All who ask first meet the ``FIRST`` holders of each run, which settles nearly all of them, so that a round has rows in
+    proportion to those who ask. Who is left meets all earlier holders.
+    """
+    many = durable(held.where(F.col("n") > rare))
+    place = F.row_number().over(W.partitionBy("line").orderBy("rank", "key"))
+    first = many.withColumn("place", place).where(F.col("place") <= FIRST).select("line", "key")  # cut on the map side
+    asking = _asking(arrays, many, found, least_chars)
+    found = found.unionAll(_meet(arrays, asking, first, least_chars))
+    asking = _asking(arrays, many, found, least_chars)
+    last = asking.groupBy("line").agg(F.max(F.struct("rank", "key")).alias("last"))
+    earlier = durable(salted_join(many, last, ["line"], "key").where(F.struct("rank", "key") < F.col("last")).select("line", "key"))
+    return found.unionAll(_meet(arrays, asking, earlier, least_chars))
 
 
 def _strip(least_chars: int, with_text: bool):
@@ -283,7 +301,7 @@ def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int =
     """(doc_id, n_lines, n_removed, kept_sha256, and the text ``kept`` if asked for) of every input row.
 
     Lines end at line feeds and are equal up to the white space around them. A row is compared with every row of smaller
-    doc_id that shares a line with it which at most ``rare`` different rows have, and for each more frequent line with the first
+    doc_id that shares a line with it which at most ``rare`` rows of different lines have, and for each more frequent line with the first
     row that has it; with ``every`` (as the registered query has it) what goes is what alignment with every row of smaller doc_id
     tells, and ``rare`` only decides which pairs are aligned first. Lines in a block aligned with such a row go if the block has ``least_chars`` characters. Rows are judged on the
     input. Null and empty texts have no lines; a null id counts as larger than all others; rows repeated under one id with
@@ -292,7 +310,12 @@ def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int =
     """
     rows = keyed(docs).withColumn("rank", F.coalesce("doc_id", F.lit(2**63 - 1)))
     described = rows.select("key", "rank", "text").mapInArrow(_lines(least_chars, every), "key long, rank long, lines binary, chars binary, distinct array<long>")
-    described = durable(described)
+    described = durable(described.withColumn("seq", F.sha1("lines")))
+    # rows of the same lines: the first stands for all, and all lines of the others go
+    heads = described.groupBy("seq").agg(F.min(F.struct("rank", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = salted_join(described.select("key", "seq", "lines"), heads.select("seq", F.col("first.key").alias("head")), ["seq"], "key").where("key <> head")
+    copies = durable(copies.select("key", (F.octet_length("lines") / 8).cast("long").alias("end")).distinct())
+    described = durable(described.drop("seq").join(copies, "key", "left_anti"))
     holders = described.select("key", "rank", F.explode("distinct").alias("line")).distinct()
     # the first holders, summed up on the map side, so a line that a third of the rows have is one row a task
     lines = durable(holders.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "key")).alias("head")).where("n > 1"))
@@ -301,13 +324,13 @@ def remove_repeated_lines(docs: DataFrame, rare: int = RARE, least_chars: int =
     few = few.select("all", F.posexplode("all").alias("at", "late")).select(F.explode(F.slice("all", 1, F.col("at"))).alias("early"), "late").select(F.col("early.key").alias("u"), F.col("late.key").alias("v"))
     many = held.where((F.col("n") > rare) & (F.col("key") != F.col("head"))).select(F.col("head").alias("u"), F.col("key").alias("v"))
     pairs = few.unionAll(many).distinct()
-    arrays = described.groupBy("key").agg(F.first("lines").alias("lines"), F.first("chars").alias("chars"))
+    arrays = durable(described.groupBy("key").agg(F.first("rank").alias("rank"), F.first("lines").alias("lines"), F.first("chars").alias("chars")))
     pairs = pairs.join(arrays.select(F.col("key").alias("v"), F.col("lines").alias("late"), "chars"), "v")
-    pairs = pairs.join(durable(arrays).select(F.col("key").alias("u"), F.col("lines").alias("early")), "u")
+    pairs = pairs.join(arrays.select(F.col("key").alias("u"), F.col("lines").alias("early")), "u")
     found = pairs.select("v", "early", "late", "chars").mapInArrow(_align(least_chars), "key long, first long, end long")
     if every:
-        found = durable(found)
-        found = found.unionAll(_tried(described, held, found, rare, least_chars))
+        found = _tried(arrays, held, durable(found), rare, least_chars)
+    found = found.unionAll(copies.select("key", F.lit(0).cast("long").alias("first"), "end"))
     marks = durable(found.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("marks")))
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     return rows.select("key", "doc_id", "text").join(marks, "key", "left").mapInArrow(_strip(least_chars, with_text), schema)

@@ -187,6 +187,7 @@ def test_repeated_lines(spark, documents):
 def test_repeated_lines_of_every_earlier_row(spark, documents, least_chars, monkeypatch):
     """Frequent lines go wherever alignment with any earlier row tells, also if the first that has them doesn't match."""
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(line_dedup, "FIRST", 3)
     rng = random.Random(8)
     pool = [f"line {i} of some length" for i in range(25)] + ["}", "", "  x", "{", "one two"]
     made = [(5000, "\n".join(pool[::-1] * 2))] + [(5001 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(90)]
