@@ -80,7 +80,7 @@ def i1_score_batch_model(spark, sf_dir):
     """Responses with a forest and the fit it was trained with, both saved and loaded again."""
     folder = shared_folder(spark, "saved")
     fit, table = fitted_table(spark, sf_dir)
-    io.save_model(G.train_random_forest(table, label="target", trees=30, depth=10), f"{folder}/model")
+    io.save_model(G.train_random_forest(table, label="target"), f"{folder}/model")
     fit.save(spark, f"{folder}/fit")
     model, fit = io.load_model(f"{folder}/model", spark), FeatureFit.load(spark, f"{folder}/fit")
     requests = V.requests_from(V.history(spark, sf_dir))
@@ -114,8 +114,7 @@ def i6_score_basic(spark, sf_dir):
     failed = F.when(F.col("FundingRounds") >= 3, 1).otherwise(0)
     table = durable(build_features_basic(
         records.withColumn(TARGET, failed), fit_encodings_basic(records), keep=["id", TARGET]))
-    model = G.train_random_forest(table, ["TotalFunding", "FundingRounds", "CityEncoded", "IndustryEncoded"],
-                                  TARGET, trees=30, depth=10)
+    model = G.train_random_forest(table, ["TotalFunding", "FundingRounds", "CityEncoded", "IndustryEncoded"], TARGET)
     return I.score_basic(table, model)
 
 

@@ -122,8 +122,12 @@ def export_log(df: DataFrame, path: str) -> None:
     write_records(df, path, "csv")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str) -> None:
+    """A pipeline in Spark's own format, a ``BoostedModel`` as a document."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:
+        model.save(SparkSession.active(), f"{path}/boosted")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -136,7 +140,12 @@ def load_model(path: str, spark: SparkSession = None):
 
     Any other failure is an error.
     """
-    return PipelineModel.load(path) if exists(spark or SparkSession.active(), path) else None
+    spark = spark or SparkSession.active()
+    if exists(spark, f"{path}/boosted"):
+        from recordrisk.operators.boosting import BoostedModel
+
+        return BoostedModel.load(spark, f"{path}/boosted")
+    return PipelineModel.load(path) if exists(spark, path) else None
 
 
 def save_document(spark: SparkSession, document: dict, path: str) -> None:
