@@ -20,6 +20,7 @@ EDITS = 0.08  # of a passage's characters; 1 - q * EDITS must stay positive
 SHORTEST = 30  # characters from which a passage may be edited
 BLOCK_CHARS = 2_000_000
 _TABLE_BITS = 22
+DIAGONALS = 1 << 20  # shared diagonals looked at together, about
 _BMP = 0x10000
 
 
@@ -83,9 +84,12 @@ class Passages:
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
         flat = np.concatenate(grams or [np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.grams, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
+        flat, item, place = flat[order], item[order], place[order]
+        # places of a q-gram that follow each other, as in a line of one character, are one run
+        begin = _run_starts(flat, item, place)
+        self.item, self.place, self.length = item[begin], place[begin], np.diff(np.append(begin, len(flat)))
+        self.grams, first = np.unique(flat[begin], return_index=True)
+        self.first = np.append(first, len(begin))
         self.tiny: dict[int, dict[int, list[int]]] = {}  # by size, then by hash
         for i in np.flatnonzero((size > 0) & (size < q)).tolist():
             whole = int(gram_hashes(mix(self.items[i].astype(np.uint64)), int(size[i]))[0])
@@ -126,22 +130,9 @@ class Passages:
         doc = np.searchsorted(begins, pos, "right") - 1
         inside = pos + self.q <= begins[doc + 1]
         pos, at, doc = pos[inside], at[inside], doc[inside]
-        n = self.first[at + 1] - self.first[at]
-        entry = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pos, doc, item = np.repeat(pos, n), np.repeat(doc, n), self.item[entry]
-        diagonal = pos - self.place[entry]
-        width = self.budget[item] + 1
-        band = diagonal // width
-        key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
-        if not key.shape[1]:
-            return []
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        new = np.ones(key.shape[1], bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, key.shape[1]))
-        doc, item, band = key[:, first[count >= self.bound[key[1, first]]]]
+        begin = _run_starts(doc, at, pos)
+        length = np.diff(np.append(begin, len(pos)))
+        doc, item, band = self._bands(pos[begin], length, at[begin], doc[begin], len(chars))
         # neighbouring bands of a document and passage are one region
         joined = np.ones(len(doc), bool)
         joined[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)
@@ -155,6 +146,65 @@ class Passages:
         return found
 
 
+    def _bands(self, pos, length, at, doc, n_chars):
+        """(document, passage, band of diagonals), in order, of all that reach their bound.
+
+        A run of n places of a q-gram in a document and one of m in a passage share at most n + m - 1 diagonals, counted
+        together. Diagonals are made a few at a time and summed up per band, so that memory follows the bands.
+        """
+        runs_of = self.first[at + 1] - self.first[at]
+        lengths = np.concatenate(([0], np.cumsum(self.length)))
+        steps = np.cumsum(lengths[self.first[at + 1]] - lengths[self.first[at]] + runs_of * (length - 1))  # diagonals up to each run
+        low, n_bands = int(self.size.max()) + 1, n_chars + 2 * int(self.size.max()) + 4
+        keys, counts, waiting, lo = [], [], 0, 0
+        while lo < len(pos):
+            hi = max(lo + 1, int(np.searchsorted(steps, (steps[lo - 1] if lo else 0) + DIAGONALS, "right")))
+            n = runs_of[lo:hi]
+            one = np.repeat(np.arange(lo, hi), n)
+            two = np.repeat(self.first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            a, b = length[one], self.length[two]
+            wide = a + b - 1
+            pair = np.repeat(np.arange(len(one)), wide)
+            step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+            times = np.minimum.reduce([step + 1, wide[pair] - step, a[pair], b[pair]])
+            item = self.item[two][pair]
+            band = (pos[one] - self.place[two] - b + 1)[pair] + step
+            band = band // (self.budget[item] + 1) + low
+            key = (doc[one][pair] * len(self.items) + item) * n_bands + band
+            found = _summed(np.concatenate([key, key - 1]), np.concatenate([times, times]))
+            keys.append(found[0])
+            counts.append(found[1])
+            waiting += len(found[0])
+            if waiting > 4 * DIAGONALS:
+                keys, counts = ([x] for x in _summed(np.concatenate(keys), np.concatenate(counts)))
+                waiting = len(keys[0])
+            lo = hi
+        if not keys:
+            return (np.zeros(0, np.int64),) * 3
+        key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+        item = key // n_bands % len(self.items)
+        key, item = key[count >= self.bound[item]], item[count >= self.bound[item]]
+        return key // n_bands // len(self.items), item, key % n_bands - low
+
+
+def _run_starts(*columns: np.ndarray) -> np.ndarray:
+    """First places of runs in which the last column rises by one and the others stay the same."""
+    *same, rising = columns
+    new = np.ones(len(rising), bool)
+    new[1:] = rising[1:] != rising[:-1] + 1
+    for c in same:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count[order], first) if len(first) else count[:0]
+
+
 def aligned(item: np.ndarray, region: np.ndarray, budget: int) -> list[tuple[int, int, int]]:
     """Places (start, end, edits) where the passage lies in the region with at most ``budget`` edits, best of each run.
 

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from recordrisk.llm import decontaminate
 from recordrisk.llm.decontaminate import Passages, aligned, find_passages, without_passages
 from recordrisk.llm.ngram_lm import BUCKETS, learn_weights, score_texts
 from recordrisk.llm.packing import best_pattern, cutting_stock, pack, plan
@@ -239,6 +241,36 @@ def test_edited_passages_are_found():
             assert brute.edits(items[i], " ".join(doc[a:b].lower().split())) <= e + 1
 
 
+@pytest.mark.parametrize("alphabet", ["=", "=-", "ab ", "abcdefgh "])
+def test_repeated_characters_by_trying_all(alphabet, monkeypatch):
+    rng = random.Random(len(alphabet))
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 40)
+    some = lambda n: " ".join("".join(rng.choice(alphabet) for _ in range(n)).split())
+    for _ in range(12):
+        passages = [p for p in (some(rng.randrange(30, 90)) for _ in range(4)) if len(p) >= 30]
+        texts = []
+        for p in passages:
+            body = list(p)
+            for _ in range(rng.randrange(0, 8)):
+                body[rng.randrange(len(body))] = rng.choice("xyz" + alphabet)
+            texts.append(" ".join((some(40) + "".join(body) + some(40)).split()))
+        data = [t.encode() for t in texts]
+        index = Passages(range(len(passages)), passages, 10, 0.08, 30)
+        found = index.find(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        want = {(d, i) for d, t in enumerate(texts) for i, p in enumerate(passages) if brute.edits(p, t) <= int(0.08 * len(p))}
+        assert {(d, i) for d, i, *_ in found} == want
+
+
+def test_lines_of_one_character_need_little_memory():
+    text = np.frombuffer(b"=" * 10_000, np.uint8)
+    index = Passages([0], ["=" * 2000], 10, 0.08, 30)
+    tracemalloc.start()
+    found = index.find(text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i, e) for d, i, _, _, e in found] == [(0, 0, 0)] and peak < 100 << 20
+
+
 def test_passages_in_documents(spark, tables, documents):
     docs, bench = tables("documents"), tables("benchmark")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
