@@ -12,7 +12,7 @@ from recordrisk.llm.near_dedup import near_classes
 from recordrisk.llm.ngram_lm import score_texts
 from recordrisk.llm.packing import pack
 from recordrisk.llm.quality import fit_quality, in_fold, score_quality
-from recordrisk.llm.secrets import fit_secrets, secret_report
+from recordrisk.llm.secrets import ALPHABET, METHOD, PATTERNS, SCALE, WORD, fit_secrets, secret_report
 from recordrisk.llm.shared import table
 from recordrisk.llm.suffix_dedup import remove_repeated_bytes
 from recordrisk.llm.token_counts import count_tokens
@@ -175,7 +175,45 @@ def op12_conversations(spark, sf_dir):
     return repair(damaged(turns), turns)
 
 
-@query("op13_secrets")
+def _secrets_sql(least=16, word_least=8, bound=0.75) -> str:
+    """Matches with their places from the texts between them; both models from counts of characters that follow each other."""
+    kinds = [*PATTERNS, (METHOD, f"{WORD}{{{word_least},}}", 0, word_least)]  # identifiers, of which the longer ones are candidates
+    found = " UNION ALL ".join(f"""SELECT uid, {i} AS rank, '{kind}' AS kind, {least_of} AS least, string_split_regex(t, pat) AS gaps,
+      regexp_extract_all(t, pat, 0) AS whole, regexp_extract_all(t, pat, {group}) AS vals FROM d, (SELECT '{pattern.replace("'", "''")}' AS pat)"""
+                               for i, (kind, pattern, group, least_of) in enumerate(kinds))
+    size = len(ALPHABET)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
+    found AS ({found}),
+    each AS (SELECT uid, rank, kind, least, unnest(range(1, len(whole) + 1)) AS i, gaps, whole, vals FROM found),
+    placed AS (SELECT uid, rank, kind, least, vals[i] AS value, length(whole[i]) AS size,
+        CAST(sum(length(gaps[i]) + length(whole[i])) OVER (PARTITION BY uid, rank ORDER BY i) AS BIGINT) AS stop FROM each),
+    spans AS (SELECT uid, rank, kind, value, stop - size AS start, stop FROM placed WHERE length(value) >= least),
+    base AS (SELECT * FROM spans WHERE rank < {len(PATTERNS)}),
+    words AS (SELECT * FROM spans s WHERE rank = {len(PATTERNS)} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.uid = s.uid AND b.start < s.stop AND s.start < b.stop)),
+    samples AS (SELECT DISTINCT 1 AS random, value FROM base
+        UNION ALL SELECT 0, value FROM words WHERE regexp_matches(value, '[A-Za-z]') GROUP BY value HAVING count(*) > 1),
+    letters AS (SELECT random, value, unnest(range(1, length(value) + 1)) AS i FROM samples),
+    pairs AS (SELECT CASE WHEN i = 1 THEN '' ELSE substr(value, i - 1, 1) END AS former, substr(value, i, 1) AS c,
+        count(*) FILTER (random = 1) AS yes, count(*) FILTER (random = 0) AS no FROM letters GROUP BY ALL),
+    formers AS (SELECT former, sum(yes) AS yes_all, sum(no) AS no_all FROM pairs GROUP BY former),
+    candidates AS (SELECT DISTINCT value FROM words WHERE length(value) >= {least} AND regexp_matches(value, '[A-Za-z]')),
+    steps AS (SELECT value, i, CASE WHEN i = 1 THEN '' ELSE substr(value, i - 1, 1) END AS former, substr(value, i, 1) AS c
+        FROM (SELECT value, unnest(range(1, length(value) + 1)) AS i FROM candidates)),
+    known AS (SELECT value, coalesce(yes, 0) AS yes, coalesce(no, 0) AS no, coalesce(yes_all, 0) AS yes_all, coalesce(no_all, 0) AS no_all
+        FROM steps LEFT JOIN pairs USING (former, c) LEFT JOIN formers USING (former)),
+    ratios AS (SELECT value, sum(CAST(round({SCALE} * (ln(CASE WHEN yes_all > 0 THEN yes * {size} + yes_all ELSE 2 END)
+        - ln(2 * {size} * greatest(yes_all, 1)) - ln(no + 1) + ln(no_all + {size}))) AS BIGINT)) AS ratio FROM known GROUP BY value),
+    kept AS (SELECT uid, rank, kind, start, stop FROM base UNION ALL
+        SELECT uid, rank, kind, start, stop FROM words JOIN ratios USING (value) WHERE ratio >= length(value) * {int(bound * SCALE)}),
+    listed AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank) FILTER (rank < {len(PATTERNS)}) AS base,
+        string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, rank) AS spans FROM kept GROUP BY uid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (uid)"""
+
+
+@query("op13_secrets", _secrets_sql())
 def op13_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secret_report(docs, fit_secrets(docs))

@@ -6,10 +6,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recordrisk.llm.queries import QUERIES
+from recordrisk.llm.queries import ORACLES, QUERIES
 from recordrisk.llm.secrets import ALPHABET, find_secrets, fit_secrets, secret_report, sum_before
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -89,6 +91,17 @@ def test_by_brute_force(spark, odd_rows, tricky):
     assert bag(got.collect()) == bag(plain(rows))
 
 
+def test_sql_by_brute_force(odd_rows, tricky):
+    """The SQL says what the plain version says where the method adds spans, too."""
+    rng = random.Random(4)
+    rows = odd_rows + tricky + [(200 + i, f"token={hidden(rng, 30)} and {hidden(rng, 30)}") for i in range(60)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    want = plain(rows)
+    assert any("random" in r[-1] for r in want)
+    assert bag(con.sql(ORACLES["op13_secrets"]).fetchall()) == bag(want)
+
+
 def test_hidden_keys_are_found_and_prose_is_not(spark, documents):
     rng = random.Random(3)
     rows = [(d, t) for d, t in documents] + [(-1 - i, f"the thing {hidden(rng, 32)} erth") for i in range(40)]
