@@ -95,6 +95,9 @@ def test_sql_by_brute_force(odd_rows, tricky):
     """The SQL says what the plain version says where the method adds spans, too."""
     rng = random.Random(4)
     rows = odd_rows + tricky + [(200 + i, f"token={hidden(rng, 30)} and {hidden(rng, 30)}") for i in range(60)]
+    parts = ["".join(rng.choice("aeiou" if k % 2 else "bdlmnrst") for k in range(rng.randrange(4, 8))) for _ in range(200)]
+    rows += [(300 + i // 2, "_".join(rng.choice(parts) for _ in range(600)).replace("_", " ", 300)) for i in range(2)]
+    rows += [(400, " ".join(a + b for a in parts[:60] for b in parts[60:120])) for _ in range(2)]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
     want = plain(rows)
