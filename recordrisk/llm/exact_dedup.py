@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordrisk.llm.shared import input_bytes, pieces_for, texts
-from recordrisk.workspace import durable
+from recordrisk.workspace import durable, lookup
 
 PREFIX_CHARS = 8
 
@@ -111,7 +111,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", normalise=None, target_
     # two runs a partition at most are open: one row each
     edges = found.where("open AND first").groupBy("text_sha256").agg(best("best").alias("_best"), F.sum("size").alias("_size"))
     return (
-        found.join(F.broadcast(edges), "text_sha256", "left")
+        lookup(found, edges, "text_sha256")
         .withColumn("open", F.col("open") & F.col("_size").isNotNull())
         .withColumn("keep_id", F.when(F.col("open"), F.col("_best")).otherwise(F.col("best")))
         .withColumn("group_size", F.when(F.col("open"), F.col("_size")).otherwise(F.col("size")))

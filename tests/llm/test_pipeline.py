@@ -1,5 +1,8 @@
 """Stages take effect one after the other; queries agree with SQL where SQL can say them."""
 
+import os
+import random
+
 import brute
 import duckdb
 import pytest
@@ -44,13 +47,68 @@ def test_stages_of_odd_and_no_rows(spark, data, odd, none, stage):
         assert got.columns == odd.columns
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Rows under few ids or none, with copies, near copies, and a column named as the stages name theirs."""
+    rng = random.Random(2)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(120)) for _ in range(6)]
+
+    def near(text):
+        words = text.split()
+        words[rng.randrange(len(words))] = "other"
+        return " ".join(words)
+
+    rows = [(rng.choice([None, None, 7, 8, *range(20, 40)]), rng.choice([b, b, near(b)])) for b in base for _ in range(6)]
+    rows += [(7, base[0])] * 3 + [(None, base[1])] * 3 + [(None, None), (5, None), (5, ""), (None, "")]
+    table = [(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)]
+    return rows, spark.createDataFrame(table, "doc_id long, text string, lang string, source string, _row int").repartition(3)
+
+
+def test_copies_go_row_by_row(spark, shared_ids):
+    rows, docs = shared_ids
+    got = corpus_pipeline.exact_dedup(spark, docs, None)
+    want = {}
+    for i, t in rows:
+        want[t or ""] = max(want.get(t or "", -2), -1 if i is None else i)
+    assert got.columns == docs.columns
+    assert sorted((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in got.collect()) == sorted(want.items())
+
+
+def test_near_copies_go_row_by_row(spark, shared_ids):
+    rows, docs = shared_ids
+    last, classes = 10**9, {}
+    for n, c in brute.near_classes([(n, t or "") for n, (_, t) in enumerate(rows)]).items():
+        classes.setdefault(c, []).append(last if rows[n][0] is None else rows[n][0])
+    got = corpus_pipeline.near_dedup(spark, docs, None).collect()
+    assert sorted(last if r["doc_id"] is None else r["doc_id"] for r in got) == sorted(min(ids) for ids in classes.values())
+
+
+def test_quality_goes_row_by_row(spark, data, tables):
+    model = fit_quality(tables("documents"), tables("labels"))
+    scored = score_quality(tables("documents"), model).join(tables("documents"), "doc_id")
+    good, bad = (scored.where(test).limit(5).collect() for test in ("score >= 0.6", "score < 0.1"))
+    rows = [(r["doc_id"], r["text"], 0) for r in tables("documents").collect()]
+    rows += [(None, r["text"], 1) for r in good] + [(None, r["text"], 2) for r in bad] + [(10**6, good[0]["text"], 3), (10**6, bad[0]["text"], 4)]
+    got = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, kind int"), data)
+    kinds = [r["kind"] for r in got.where("kind > 0").collect()]
+    assert sorted(kinds) == [1] * len(good) + [3]
+
+
+def test_a_run_leaves_its_stages_only(spark, data):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    corpus_pipeline.run(spark, data)
+    made = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert sorted(n.rsplit("-", 1)[0] for n in made) == sorted(f"stage-{n}" for n, _ in corpus_pipeline.STAGES)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     want, got = con.sql(ORACLES[name]), QUERIES[name](spark, data)
-    rows = sorted(zip(*[[r[want.columns.index(c)] for r in want.fetchall()] for c in got.columns]))
-    assert sorted(map(tuple, got.collect())) == rows
+    places = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r[i] for i in places) for r in want.fetchall()), key=str)
 
 
 def test_a_query_for_every_operator():
