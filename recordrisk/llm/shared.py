@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordrisk.workspace import small_or_none
+
 SLICE_BYTES = 3 << 19
 # ASCII white space separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -193,3 +195,24 @@ def salted_join(rows: DataFrame, small: DataFrame, on: list[str], spread: str, h
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+HOT_ROWS = 10_000
+
+
+def hot_join(rows: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """The same join, but only keys of more than ``HOT_ROWS`` rows are salted, so that ``small`` is sent once elsewhere.
+
+    ``rows`` is a stored table: its keys are counted first. If the hot keys are too many to be sent to every task, all are salted.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on)
+    found = small_or_none(counts)
+    if found is None:
+        return salted_join(rows, small, on, spread, how, salts)
+    if not found:
+        return rows.join(small, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, counts.schema).withColumn("_hot", F.lit(True)))  # its size was checked
+    left = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = small.join(hot, on, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordrisk.llm.shared import salted_join, texts
+from recordrisk.llm.shared import hot_join, texts
 from recordrisk.llm.tokenizer import encoded, version_of
+from recordrisk.workspace import durable
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -51,9 +52,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     unknown.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    # copies of one text may be a third of the rows: salted, they reach their count in many tasks
-    rows = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    # copies of one text may be a third of the rows: such are salted, so they reach their count in many tasks
+    rows = durable(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
     return (
-        salted_join(rows, cached_counts(spark, cache, version), ["digest"], "doc_id", "left")
+        hot_join(rows, cached_counts(spark, cache, version), ["digest"], "doc_id", "left")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from recordrisk.llm import shared
 from recordrisk.llm.shared import gram_hashes, raw, runs, slices, sliding_min, word_hashes, words
 from recordrisk.llm.tokenizer import encoded, encoder, version_of
 
@@ -85,3 +86,12 @@ def test_other_vocabularies_go_to_their_library(name):
     path = public_tokenizers.path(name)
     assert encoder(path).fast is None and len(version_of(path)) == 64
     assert [len(x) > 0 for x in ids(path, ["some words", "", "more"])] == [True, False, True]
+
+
+@pytest.mark.parametrize("bound,how", [(0, "inner"), (3, "left"), (3, "inner"), (10**6, "left")])
+def test_only_hot_keys_are_salted(spark, monkeypatch, bound, how):
+    monkeypatch.setattr(shared, "HOT_ROWS", bound)
+    rows = spark.createDataFrame([(i, i % 7 if i < 50 else 9) for i in range(300)] + [(999, 50)], "id long, k long").repartition(4)
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(12)], "k long, v string")
+    got, want = shared.hot_join(rows, small, ["k"], "id", how), rows.join(small, ["k"], how)
+    assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
