@@ -123,7 +123,7 @@ def walks(starts, ends, kind, gone, cut, behind: np.ndarray):
 
 
 def _cut_blocks(batches):
-    """Sorted rows become numbered blocks: a new one at each conversation, and after 64, 65, 66, ... rows of it."""
+    """Sorted rows get the number of their block and their place in it: a new block at each conversation, and after 64, 65, 66, ... rows."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -134,7 +134,7 @@ def _cut_blocks(batches):
         null = ids.is_null().to_numpy(zero_copy_only=False)
         fresh = np.ones(len(known), bool)
         fresh[1:] = (known[1:] != known[:-1]) | (null[1:] != null[:-1])
-        out = np.empty(len(known), np.int64)
+        out, place = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
         edges = np.flatnonzero(fresh)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(known)]):
             name = (bool(null[a]), int(known[a]))
@@ -142,11 +142,11 @@ def _cut_blocks(batches):
                 conversation, number, used = name, 0, 0
             while a < b:
                 take = min(b - a, FIRST_BLOCK + number - used)
-                out[a : a + take] = number
+                out[a : a + take], place[a : a + take] = number, used + np.arange(take)
                 a, used = a + take, used + take
                 if used == FIRST_BLOCK + number:
                     number, used = number + 1, 0
-        yield batch.append_column("seg", pa.array(out + (part << 32)))
+        yield batch.append_column("seg", pa.array(out + (part << 32))).append_column("at", pa.array(place))
 
 
 def _matrices(batches):
@@ -199,64 +199,71 @@ def _walked(batches):
 
 
 class _Conversation:
-    """What is known of a conversation after some of its blocks."""
+    """What is known of a conversation after some of its rows, which come in order, those of a block after its edits."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.state, self.cost, self.audit, self.rows = conv_id, 0, 0, [], 0
+        self.conv_id, self.state, self.cost, self.audit, self.letters = conv_id, 0, None, [], iter("")
         self.hash, self.lines = hashlib.sha256(), 0
         self.counts = dict.fromkeys(("blank", "duplicate", "truncated", "illegal"), 0)
         self.last, self.low, self.high, self.distinct = None, None, None, 0
 
-    def add(self, block):
-        if not self.rows:
-            self.cost = block["costs"][0]
-        self.rows += len(block["roles"])
+    def begin(self, block):
+        self.cost = block["costs"][0] if self.cost is None else self.cost
         for name in ("blank", "duplicate", "truncated"):
             self.counts[name] += block[name]
-        initials = ([] if self.last is None else [self.last]) + [r[:1] for r in block["roles"]]
-        self.counts["illegal"] += sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
-        self.last = initials[-1]
-        for turn in block["turns"]:
-            if turn is not None and turn != self.high:  # turns come in order, nulls first
-                self.low, self.high, self.distinct = turn if self.low is None else self.low, turn, self.distinct + 1
-        audit, row = block["audits"][self.state], 0
-        self.audit.append(audit)
-        for letter in audit:
-            if letter == "K":
-                self._line(block["roles"][row] + ":" + block["texts"][row])
-                self.state = int(KEPT[self.state, "sua".find(block["roles"][row][:1])])
-            elif letter in "RI":
-                self._line(ROLE[self.state] + ":" + (block["texts"][row] if letter == "R" else ""))
-                self.state = int(NEXT[self.state])
-            row += letter != "I"
+        self.audit.append(block["audits"][self.state])
+        self.letters = iter(self.audit[-1])
+
+    def add(self, turn, role, text):
+        initial = role[:1]
+        self.counts["illegal"] += self.last is not None and self.last + initial not in ("su", "ua", "au")
+        self.last = initial
+        if turn is not None and turn != self.high:  # turns come in order, nulls first
+            self.low, self.high, self.distinct = turn if self.low is None else self.low, turn, self.distinct + 1
+        letter = next(self.letters)
+        while letter == "I":
+            self._insert()
+            letter = next(self.letters)
+        if letter == "K":
+            self._line(role + ":" + text)
+            self.state = int(KEPT[self.state, "sua".find(initial)])
+        elif letter == "R":
+            self._line(ROLE[self.state] + ":" + text)
+            self.state = int(NEXT[self.state])
+
+    def _insert(self):
+        self._line(ROLE[self.state] + ":")
+        self.state = int(NEXT[self.state])
 
     def _line(self, text):
         self.hash.update(("\n" * (self.lines > 0) + text).encode())
         self.lines += 1
 
     def result(self):
-        while self.rows and self.state not in (0, 3):  # rows inserted at the end
+        while self.state not in (0, 3):  # rows inserted at the end
             self.audit.append("I")
-            self._line(ROLE[self.state] + ":")
-            self.state = int(NEXT[self.state])
+            self._insert()
         gaps = self.high - self.low + 1 - self.distinct if self.high is not None else 0
-        return (self.conv_id, gaps, *self.counts.values(), self.cost, "".join(self.audit), self.hash.hexdigest())
+        return (self.conv_id, gaps, *self.counts.values(), self.cost or 0, "".join(self.audit), self.hash.hexdigest())
 
 
 def _finished(batches):
-    """Blocks of a conversation pass in order; the first, numbered -1, is an empty one that every conversation has."""
+    """Of each conversation come its name (block -1), then of each block its edits (place -1) and its rows, in order."""
     names = [part.split()[0] for part in RESULT.split(", ")]
     types = [pa.string() if "string" in part else pa.int64() for part in RESULT.split(", ")]
     present = None
     for batch in batches:
         done = []
-        for block in (row for at in range(0, len(batch), 256) for row in batch.slice(at, 256).to_pylist()):
-            if block["seg"] < 0:
-                if present is not None:
-                    done.append(present.result())
-                present = _Conversation(block["conv_id"])
-            else:
-                present.add(block)
+        for at in range(0, len(batch), 1024):
+            for row in batch.slice(at, 1024).to_pylist():
+                if row["seg"] < 0:
+                    if present is not None:
+                        done.append(present.result())
+                    present = _Conversation(row["conv_id"])
+                elif row["at"] < 0:
+                    present.begin(row)
+                else:
+                    present.add(row["turn"], row["role"], row["text"])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * len(names), types)], names)
     if present is not None:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(present.result(), types)], names)
@@ -307,19 +314,19 @@ def repair(rows: DataFrame, conversations: DataFrame) -> DataFrame:
     flagged = flagged.withColumn("code", F.col("kind") + F.when(F.col("fault").isin(1, 2), 4).when(F.col("fault") == 3, 8).otherwise(0))
     order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "text", "uid"]
     placed = flagged.drop("kind").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = durable(placed.mapInArrow(_cut_blocks, "conv_id long, turn long, role string, text string, uid long, fault int, code int, seg long"))
+    numbered = durable(placed.mapInArrow(_cut_blocks, "conv_id long, turn long, role string, text string, uid long, fault int, code int, seg long, at long"))
 
-    each = F.struct(F.col("turn"), F.col("role"), F.col("text"), F.col("uid"), F.col("code"))
+    # a block is known by the codes of its rows; texts stay in their rows
     blocks = numbered.groupBy("conv_id", "seg").agg(
-        F.sort_array(F.collect_list(each)).alias("rows"), *[F.count(F.when(F.col("fault") == i, 1)).alias(n) for i, n in ((1, "blank"), (2, "duplicate"), (3, "truncated"))])
-    blocks = durable(blocks.select("conv_id", "seg", "blank", "duplicate", "truncated", F.col("rows.turn").alias("turns"), F.col("rows.role").alias("roles"),
-                                   F.col("rows.text").alias("texts"), F.col("rows.code").alias("kinds")))
+        F.sort_array(F.collect_list(F.struct("at", "code"))).alias("rows"), *[F.count(F.when(F.col("fault") == i, 1)).alias(n) for i, n in ((1, "blank"), (2, "duplicate"), (3, "truncated"))])
+    blocks = durable(blocks.select("conv_id", "seg", "blank", "duplicate", "truncated", F.col("rows.code").alias("kinds")))
     matrices = blocks.select("conv_id", "seg", "kinds").mapInArrow(_matrices, "conv_id long, seg long, costs array<long>")
     chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seg", "costs"))).alias("blocks"))
     vectors = chains.mapInArrow(_checkpoints, "conv_id long, seg long, behind array<long>").withColumnRenamed("conv_id", "_conv").withColumnRenamed("seg", "_seg")
     met = blocks.join(vectors, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seg") == F.col("_seg"))).drop("_conv", "_seg")
-    walked = met.mapInArrow(_walked, "conv_id long, seg long, blank long, duplicate long, truncated long, turns array<long>, roles array<string>, "
-                                     "texts array<string>, audits array<string>, costs array<long>")
-    heads = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).unionAll(rows.select("conv_id")).distinct().withColumn("seg", F.lit(-1).cast("long"))
-    whole = heads.unionByName(walked, allowMissingColumns=True)
-    return whole.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_finished, RESULT)
+    walked = met.mapInArrow(_walked, "conv_id long, seg long, blank long, duplicate long, truncated long, audits array<string>, costs array<long>")
+    first = F.lit(-1).cast("long")
+    heads = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).unionAll(rows.select("conv_id")).distinct().withColumn("seg", first)
+    whole = heads.unionByName(walked.withColumn("at", first), allowMissingColumns=True)
+    whole = whole.unionByName(numbered.select("conv_id", "seg", "at", "turn", "role", "text"), allowMissingColumns=True)
+    return whole.repartition("conv_id").sortWithinPartitions("conv_id", "seg", "at").mapInArrow(_finished, RESULT)
