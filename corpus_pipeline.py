@@ -1,8 +1,8 @@
 """A corpus from raw documents: quality, exact and near copies, benchmark passages, packing.
 
 Each stage reads what its predecessor kept; all but the last return documents with their columns. The last returns the
-pieces of documents in sequences. Stages decide by row: each gives its rows a number that the operators carry, so rows
-without an id, or under one id, are judged one by one.
+pieces of documents in sequences. Stages decide by row: where ids are missing or repeat, a stage gives its rows a number that
+the operators carry, so such rows are judged one by one, too.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +20,9 @@ LEAST_QUALITY = 0.3
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, written with a number each, and the name of its column."""
+    """The rows, and the column that tells them apart: their id if each has its own, else a number they are written with."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("doc_id IS NULL OR _n > 1").isEmpty():
+        return docs, "doc_id"
     name = "_row"
     while name in docs.columns:
         name += "_"
@@ -34,11 +36,14 @@ def _texts(rows: DataFrame, number: str) -> DataFrame:
 
 def _only(rows: DataFrame, number: str, kept: DataFrame) -> DataFrame:
     """Rows whose number is among the doc_ids of ``kept``."""
-    return rows.join(kept.select(F.col("doc_id").alias(number)), number, "left_semi").drop(number)
+    left = rows.join(kept.select(F.col("doc_id").alias(number)), number, "left_semi")
+    return left if number == "doc_id" else left.drop(number)
 
 
 def _one_each(rows: DataFrame, number: str, groups: DataFrame, group: str, first) -> DataFrame:
     """The row of each group that comes ``first`` by id, then by number: groups hold (doc_id, group) by number."""
+    if number == "doc_id":
+        return _only(rows, number, groups.where("kept"))
     ids = rows.select(F.col("doc_id").alias("_id"), F.col(number).alias("doc_id"))
     best = groups.select("doc_id", group).join(ids, "doc_id").groupBy(group).agg(first.alias("_best"))
     return _only(rows, number, best.select(F.col("_best.doc_id").alias("doc_id")))
