@@ -94,11 +94,14 @@ def test_quality_goes_row_by_row(spark, data, tables):
     assert sorted(kinds) == [1] * len(good) + [3]
 
 
-def test_a_run_leaves_its_stages_only(spark, data):
-    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
-    corpus_pipeline.run(spark, data)
-    made = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
-    assert sorted(n.rsplit("-", 1)[0] for n in made) == sorted(f"stage-{n}" for n, _ in corpus_pipeline.STAGES)
+def test_a_run_leaves_its_stages_only(spark, data, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        corpus_pipeline.run(spark, data)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)) == sorted(f"stage-{n}" for n, _ in corpus_pipeline.STAGES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
