@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recordrisk.operators import ordering as O, resample as S
+from recordrisk.operators import neighbours, ordering as O, resample as S
 from recordrisk.operators.neighbours import nearest_in_class
 
 
@@ -186,3 +188,29 @@ def test_split_with_repeated_and_missing_keys(spark):
     assert sizes <= {1}
     one = spark.createDataFrame([(None, 1), (2, 1)], "k long, y int")
     assert {S.stratified_split(one, "k", "y", 50, seed).where("is_test = 1").first()["k"] for seed in range(8)} == {None, 2}
+
+
+def block_pairs(pairs, n, seed=3):
+    """Pairs of blocks of ``n`` points in four dimensions, as the search hands them to a task."""
+    rng, rows = np.random.default_rng(seed), []
+    for _ in range(pairs):
+        a, b = rng.normal(size=(n, 4)).tolist(), rng.normal(size=(n, 4)).tolist()
+        rows.append({"_asking": [{"point": i, "vec": v, "at": v[:2], "limit2": float("inf")} for i, v in enumerate(a)], "_low": [-9.0, -9.0], "_high": [9.0, 9.0],
+                     "_points": [{"first": 2 * i, "keys": [2 * i, 2 * i + 1], "vec": v, "raw": v} for i, v in enumerate(b)]})
+    return pa.RecordBatch.from_pylist(rows)
+
+
+def test_block_pairs_stay_arrays_in_a_task():
+    one = block_pairs(1, 50)
+    row = one.to_pylist()[0]
+    found = [r for batch in neighbours._block_distances(3)([one.slice(0, 1)]) for r in batch.to_pylist()]
+    for q in row["_asking"]:
+        best = sorted((sum((x - y) ** 2 for x, y in zip(q["vec"], p["vec"])), k, tuple(p["raw"])) for p in row["_points"] for k in p["keys"])[:3]
+        got = [(r["_b"]["d2"], r["_b"]["key"], tuple(r["_b"]["raw"])) for r in found if r["_point"] == q["point"]]
+        assert [g[1:] for g in got] == [b[1:] for b in best] and np.allclose([g[0] for g in got], [b[0] for b in best])
+    batch = block_pairs(20, 400)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in neighbours._block_distances(3)([batch])) == 20 * 400 * 3
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20  # one pair at a time, whatever the batch holds
