@@ -132,6 +132,40 @@ def test_neighbours_where_half_the_points_share_the_widest_value(spark):
     assert _neighbours(spark, points, 3, 4) == brute(points, 3)
 
 
+def _search_blocks(monkeypatch):
+    """The blocks that the search is given, as they come."""
+    kept, search = [], neighbours._search
+
+    def noted(points, blocks, *rest):
+        kept.append(blocks)
+        return search(points, blocks, *rest)
+
+    monkeypatch.setattr(neighbours, "_search", noted)
+    return kept
+
+
+def test_classes_of_equally_wide_features_are_few_large_blocks(spark, monkeypatch):
+    """What is shuffled is the square of a class divided by the size of a block."""
+    rng, kept = np.random.default_rng(8), _search_blocks(monkeypatch)
+    points = [("abc"[i % 3], i * 7 % 4001, rng.normal(size=8)) for i in range(4000)]
+    names = [f"f{i}" for i in range(8)]
+    df = spark.createDataFrame([(y, key, *map(float, v)) for y, key, v in points], "y string, k long, " + ", ".join(f"{n} double" for n in names))
+    few = df.where("k < 60")
+    found = {(r["y"], r["k"], r["rank"]): r["neighbour"] for r in nearest_in_class(df, few.select("y", "k"), "k", "y", names, 3).collect()}
+    assert sorted(r["_label"] for r in kept[0].collect()) == ["a", "b", "c"]
+    assert found == {at: other for at, other in brute_of([p for p in points if p[1] < 60], points, 3).items()}
+
+
+def brute_of(asked, points, k):
+    """As ``brute``, for some of the rows."""
+    out = {}
+    for y, key, v in asked:
+        others = sorted((float(((v - w) ** 2).sum()), other) for z, other, w in points if z == y and other != key)
+        for rank, (_, other) in enumerate(others[:k], 1):
+            out[(y, key, rank)] = other
+    return out
+
+
 def test_neighbours_of_tiny_classes(spark):
     points = [("a", 1, (0.0, 0.0)), ("a", 2, (1.0, 1.0)), ("b", 3, (0.0, 0.0))]
     assert _neighbours(spark, points, 5, 16) == {("a", 1, 1): 2, ("a", 2, 1): 1}
