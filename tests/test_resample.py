@@ -166,6 +166,13 @@ def brute_of(asked, points, k):
     return out
 
 
+def test_only_classes_with_wanted_rows_are_laid_out(spark, people, monkeypatch):
+    kept = _search_blocks(monkeypatch)
+    found = nearest_in_class(people, people.where("y = 'c'").select("y", "k"), "k", "y", ["x", "z"], 2)
+    assert {r["y"] for r in found.collect()} == {"c"}
+    assert {r["_label"] for r in kept[0].select("_label").collect()} == {"c"}
+
+
 def test_neighbours_of_tiny_classes(spark):
     points = [("a", 1, (0.0, 0.0)), ("a", 2, (1.0, 1.0)), ("b", 3, (0.0, 0.0))]
     assert _neighbours(spark, points, 5, 16) == {("a", 1, 1): 2, ("a", 2, 1): 1}
